@@ -36,3 +36,12 @@ def top_rank(df: DataFrame, by: list[str], order: list[Column], k: Column | int,
     """First ``k`` rows per key; Catalyst cuts each partition to k before the exchange."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def explode_rows(df: DataFrame, keep: list, array: Column, pos: str = "_i", value: str = "_c") -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes Catalyst infer ``size(array) > 0`` and push it to the
+    scan, which would evaluate an expensive array expression a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())

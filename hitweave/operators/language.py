@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.functions.text import text_or_empty
+from hitweave.functions.ranking import explode_rows
+from hitweave.functions.text import let, text_or_empty
 
 SAMPLE = 1000
 # fixed values: three-letter codes the tagger may report, and their short forms
@@ -24,8 +25,13 @@ def short_code(code: Column) -> Column:
 
 
 def _trigrams(text: Column) -> Column:
-    s = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.substring(text, 1, SAMPLE), r"[^\p{L}]+", " ")), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2)), lambda i: F.substring(s, i, F.lit(3)))
+    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.substring(text, 1, SAMPLE), r"[^\p{L}]+", " ")), F.lit(" "))
+
+    def cut(s: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2))
+        return F.transform(at, lambda i: F.substring(s, i, F.lit(3)))
+
+    return let(padded, cut)
 
 
 def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = 300) -> DataFrame:
@@ -35,7 +41,7 @@ def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang
     there are few; the result has at most ``size`` rows per language.
     """
     counts = (
-        labelled.select(lang, F.explode(_trigrams(text_or_empty(text))).alias("tri"))
+        explode_rows(labelled, [lang], _trigrams(text_or_empty(text)), value="tri")
         .groupBy(lang, "tri")
         .agg(F.count("*").alias("n"))
     )
@@ -54,7 +60,7 @@ def tag_language(docs: DataFrame, profiles: DataFrame, key: str, text: str = "te
     The profile table is bounded (300 rows per language), so it is broadcast;
     scores are summed inside the task that exploded the document.
     """
-    grams = docs.select(key, F.explode(_trigrams(text_or_empty(text))).alias("tri"))
+    grams = explode_rows(docs, [key], _trigrams(text_or_empty(text)), value="tri")
     scores = (
         grams.join(F.broadcast(profiles), "tri")
         .groupBy(key, "lang")

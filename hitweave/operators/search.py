@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.functions.ranking import top_rank
+from hitweave.functions.ranking import explode_rows, top_rank
 from hitweave.functions.text import norm_accent_insensitive
 from hitweave.params import SEARCH
 
@@ -45,25 +47,28 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 class _Running:
     """Best k so far of every query over the batches of one task."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
-        self.ids, self.matrix, self.k = ids, _unit(matrix), k
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
         self.score: np.ndarray | None = None
         self.keys: np.ndarray | None = None
 
-    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        s = np.round(np.maximum(0.0, self.matrix @ _unit(vectors).T), SCORE_DIGITS)
-        s, key = _best(s, keys, self.k)
+    def add(self, keys: np.ndarray, score: np.ndarray) -> None:
+        """``score`` has one row per query and one column per key."""
+        s, key = _best(np.round(score, SCORE_DIGITS), keys, self.k)
         if self.score is not None:
             s, key = _best(np.hstack([self.score, s]), np.hstack([self.keys, key]), self.k)
         self.score, self.keys = s, key
 
-    def rows(self, key: str) -> pd.DataFrame:
+    def rows(self, key: str, above: float = -1.0) -> pd.DataFrame:
         if self.score is None:
             return pd.DataFrame({"query_id": self.ids[:0], key: self.ids[:0], "score": np.zeros(0)})
         n = self.score.shape[1]
-        return pd.DataFrame(
-            {"query_id": np.repeat(self.ids, n), key: self.keys.ravel(), "score": self.score.ravel()}
-        )
+        out = pd.DataFrame({"query_id": np.repeat(self.ids, n), key: self.keys.ravel(), "score": self.score.ravel()})
+        return out[out["score"] > above]
+
+
+def _cosine(unit: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, unit @ _unit(vectors).T)
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -94,13 +99,14 @@ def vector_topk(
     if fits(queries, dims["d"] * 8, limit_bytes):
         local = queries.toPandas()
         ids, matrix = local["query_id"].to_numpy(), _stack(local["embedding"])
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = chunks.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            run = _Running(*shared.value, k)
+            ids, unit = shared.value
+            run = _Running(ids, k)
             for b in batches:
                 if len(b):
-                    run.add(b[key].to_numpy(), _stack(b["embedding"]))
+                    run.add(b[key].to_numpy(), _cosine(unit, _stack(b["embedding"])))
             yield run.rows(key)
 
         partial = chunks.mapInPandas(score, schema)
@@ -127,8 +133,8 @@ def _vector_blocks(queries: DataFrame, chunks: DataFrame, key: str, k: int, sche
             return pd.DataFrame({"query_id": [], key: [], "score": []}).astype(
                 {"query_id": "int64", key: "int64", "score": "float64"}
             )
-        run = _Running(left["query_id"].to_numpy(), _stack(left["embedding"]), k)
-        run.add(right[key].to_numpy(), _stack(right["embedding"]))
+        run = _Running(left["query_id"].to_numpy(), k)
+        run.add(right[key].to_numpy(), _cosine(_unit(_stack(left["embedding"])), _stack(right["embedding"])))
         return run.rows(key)
 
     return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(score, schema)
@@ -142,7 +148,7 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return explode_rows(queries, ["query_id"], F.array_distinct(tokens(F.col(text))), value="term").drop("_i")
 
 
 def _with_fields(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -151,6 +157,10 @@ def _with_fields(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataF
     return out.select("*", *[F.size(f"_t{i}").alias(f"_l{i}") for i in range(len(fields))])
 
 
+def _tag_terms(column: str, field: int) -> Column:
+    return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+
+
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -164,70 +174,133 @@ def bm25_topk(
 
     Field frequencies are length-normalised and weighted before saturation;
     idf = ln(1 + (N - df + .5) / (df + .5)), df counted over all fields.
+
+    Chunk data is never shuffled: one pass counts document frequencies (combined
+    in the tasks), a second multiplies each batch of chunks with the term-query
+    matrix and keeps k rows per query, so frequent words cost arithmetic, not
+    rows. The matrix is bounded by ``limit_bytes``; past it the same scores come
+    from a salted term join.
     """
-    pairs = bm25_scores(queries, chunks, key, fields, text, limit_bytes)
+    terms = query_terms(queries, text)
+    size = terms.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if size["q"] * size["t"] * 8 > limit_bytes:
+        pairs = bm25_pairs(terms, chunks, key, fields)
+    else:
+        pairs = _bm25_blocks(terms, chunks, key, fields, k)
     return top_rank(pairs, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
+def _field_tokens(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    return chunks.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
 
 
-def bm25_scores(
-    queries: DataFrame,
-    chunks: DataFrame,
-    key: str,
-    fields: dict[str, float],
-    text: str = "query",
-    limit_bytes: int = SEARCH.broadcast_bytes,
-) -> DataFrame:
-    """(query_id, key, score) for every chunk that shares a term with the query.
+def _term_totals(tok: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
+    """``(term, df, _l0 ..)``; the row of the empty term counts all chunks and sums the lengths."""
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[F.col(f"_t{i}") for i in range(n)]))
+    rows = explode_rows(tok, [F.size(f"_t{i}").alias(f"_l{i}") for i in range(n)], every, value="term")
+    return (
+        rows.groupBy("term")
+        .agg(F.count("*").alias("df"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(n)])
+        .join(vocabulary.unionByName(_empty_term(vocabulary)), "term", "left_semi")
+    )
 
-    The corpus is laid out by chunk key once. Counting terms per chunk, joining
-    the query terms and summing per (query, chunk) all keep that layout, so
-    scored pairs stay in their task until each task has cut them to its best k.
-    """
-    n = len(fields)
+
+def _empty_term(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([("",)], "term string")
+
+
+def _bm25_blocks(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float], k: int) -> DataFrame:
     weights = list(fields.values())
+    tok = _field_tokens(chunks, key, fields)
+    # both bounded by the checked matrix size
+    asked = terms.toPandas()
+    seen = _term_totals(tok, terms.select("term").distinct(), len(weights)).toPandas()
+    totals = seen[seen["term"] == ""]
+    n_chunks = int(totals["df"].iloc[0]) if len(totals) else 0
+    average = [float(totals[f"_l{i}"].iloc[0]) / n_chunks if n_chunks else 0.0 for i in range(len(weights))]
+    seen = seen[seen["term"] != ""]
+    ids, row = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    vocabulary = pd.Index(seen["term"])
+    col = vocabulary.get_indexer(asked["term"])
+    df = seen["df"].to_numpy(dtype=np.float64)
+    matrix = np.zeros((len(vocabulary), len(ids)))
+    found = col >= 0
+    matrix[col[found], row[found]] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))[col[found]]
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, list(vocabulary), matrix, average))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, matrix, average = shared.value
+        words, run = pa.array(words, pa.string()), _Running(ids, k)
+        step = max(1, 4_000_000 // max(1, len(words)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(words) else 0, step):
+                part = batch.slice(lo, step)
+                freq = _weighted_frequency(part, words, weights, average)
+                saturated = freq * (SEARCH.k1 + 1) / (freq + SEARCH.k1)
+                run.add(part.column(0).to_numpy(), (saturated @ matrix).T)
+        yield pa.RecordBatch.from_pandas(run.rows(key, above=0.0), preserve_index=False)
+
+    return tok.mapInArrow(score, f"query_id long, {key} long, score double")
+
+
+def _weighted_frequency(
+    part: pa.RecordBatch, words: pa.Array, weights: list[float], average: list[float]
+) -> np.ndarray:
+    """Chunks x vocabulary: field frequencies over their length norm, weighted and summed."""
+    n, v = part.num_rows, len(words)
+    out = np.zeros((n, v))
+    for i, (w, mean) in enumerate(zip(weights, average)):
+        tokens_ = part.column(i + 1)
+        length = pc.list_value_length(tokens_).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(tokens_.flatten(), value_set=words), -1).to_numpy()
+        cell = np.repeat(np.arange(n), length) * v + term
+        count = np.bincount(cell[term >= 0], minlength=n * v).reshape(n, v)
+        norm = 1 - SEARCH.b + SEARCH.b * length / mean if mean else np.ones(n)
+        out += w * count / norm[:, None]
+    return out
+
+
+def bm25_pairs(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """(query_id, key, score) for every chunk that shares a term with the query, by joins alone.
+
+    The corpus is laid out by chunk key once; counting terms per chunk keeps that layout. Frequent
+    terms hold a large share of the postings, so the join with the query terms is salted.
+    """
+    n, weights = len(fields), list(fields.values())
     lens = [f"_l{i}" for i in range(n)]
-    terms = query_terms(queries, text)
-    small = fits(terms, 64, limit_bytes)
     vocabulary = terms.select("term").distinct()
-
-    tok = _with_fields(chunks, key, fields)
-    stats = tok.agg(F.count("*").alias("n_chunks"), *[F.avg(l).alias(f"avg{i}") for i, l in enumerate(lens)])
-    tagged = F.concat(
-        *[
-            F.transform(f"_t{i}", lambda t, i=i: F.struct(t.alias("term"), F.lit(i).alias("field")))
-            for i in range(n)
-        ]
-    )
-    laid = tok.repartition(F.col(key)).select(key, *lens, F.explode(tagged).alias("_p"))
-    laid = laid.select(key, *lens, "_p.term", "_p.field")
-    laid = laid.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    tf = laid.groupBy(key, "term").agg(
-        *[F.first(l).alias(l) for l in lens],
-        *[F.sum((F.col("field") == i).cast("int")).alias(f"_f{i}") for i in range(n)],
+    tok = _field_tokens(chunks, key, fields)
+    seen = _term_totals(tok, vocabulary, n)
+    totals = seen.where("term = ''")
+    count = totals.select("df").scalar()
+    tagged = F.concat(*[_tag_terms(f"_t{i}", i) for i in range(n)])
+    laid = tok.repartition(F.col(key))
+    laid = explode_rows(laid, [key, *[F.size(f"_t{i}").alias(f"_l{i}") for i in range(n)]], tagged)
+    tf = (
+        laid.select(key, *lens, "_c.term", "_c.field")
+        .join(vocabulary, "term", "left_semi")
+        .groupBy(key, "term")
+        .agg(
+            *[F.first(l).alias(l) for l in lens],
+            *[F.sum((F.col("field") == i).cast("int")).alias(f"_f{i}") for i in range(n)],
+        )
     )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of corpus totals, as scalar subqueries rather than a join
-    one = {c: stats.select(c).scalar() for c in stats.columns}
-    idf = F.log(1 + (one["n_chunks"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-
     freq = F.lit(0.0)
     for i, w in enumerate(weights):
-        norm = 1 - SEARCH.b + SEARCH.b * F.col(f"_l{i}") / one[f"avg{i}"]
+        mean = totals.select(F.col(f"_l{i}") / F.col("df")).scalar()
+        norm = 1 - SEARCH.b + SEARCH.b * F.col(f"_l{i}") / mean
         freq = freq + F.when(F.col(f"_f{i}") > 0, w * F.col(f"_f{i}") / norm).otherwise(0.0)
-    post = tf.select(key, "term", freq.alias("_wf"))
-    if small:
-        joined = post.join(F.broadcast(weighted), "term")
-    else:
-        # frequent terms hold a large share of the postings: spread each over many tasks
-        salt = SEARCH.salts
-        joined = post.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int")).join(
-            weighted.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["term", "_s"]
-        )
+    idf = F.log(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = terms.join(seen.where("term != ''").select("term", "df"), "term").select("query_id", "term", idf.alias("idf"))
+    salt = SEARCH.salts
+    post = tf.select(key, "term", freq.alias("_wf"), F.pmod(F.xxhash64(key), F.lit(salt)).cast("int").alias("_s"))
+    asked = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     part = F.col("idf") * F.col("_wf") * (SEARCH.k1 + 1) / (F.col("_wf") + SEARCH.k1)
-    return joined.groupBy(key, "query_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return (
+        post.join(asked, ["term", "_s"])
+        .groupBy(key, "query_id")
+        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    )
 
 
 # --- fusion ----------------------------------------------------------------

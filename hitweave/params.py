@@ -34,7 +34,7 @@ class SearchParams:
     rrf_k: int = 60
     # bytes of query-side data that may be broadcast; beyond it the shuffled
     # form of the same operator runs
-    broadcast_bytes: int = 64 * 1024 * 1024
+    broadcast_bytes: int = 256 * 1024 * 1024
     salts: int = 32
 
 
