@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from hitweave.functions.lists import detect_list
 from hitweave.functions.ranking import explode_rows, top_rank
 from hitweave.functions.text import direct_answer_boost, excerpt_window, norm_accent_insensitive, text_or_empty, trim_ws
-from hitweave.operators.shaping import BY_QUERY, score_or_zero
+from hitweave.operators.shaping import by_query, score_or_zero
 from hitweave.params import JUDGE
 
 
 def judge_batches(hits: DataFrame, query: str = "query") -> DataFrame:
     """Number the hits from 0, cut them into prompts and attach the excerpt to show."""
-    out = hits.withColumn("abs_id", F.row_number().over(BY_QUERY.orderBy("ord")) - 1)
+    out = hits.withColumn("abs_id", F.row_number().over(by_query().orderBy("ord")) - 1)
     out = out.withColumn("batch_no", F.floor(F.col("abs_id") / JUDGE.batch_size).cast("int"))
     out = out.where(F.col("batch_no") < JUDGE.max_batches)
     return out.withColumn("excerpt", excerpt_window("text", query, JUDGE.excerpt_chars))
@@ -70,7 +70,7 @@ def decision_issues(decisions: DataFrame, hits: DataFrame) -> DataFrame:
 def with_coverage(hits: DataFrame, decisions: DataFrame) -> DataFrame:
     """Hits with their decision (null if undecided) and ``use_fallback`` per query."""
     joined = hits.join(decisions.select("query_id", "abs_id", "label", "relevance", "evidence"), ["query_id", "abs_id"], "left")
-    share = F.count("label").over(BY_QUERY) / F.count("*").over(BY_QUERY)
+    share = F.count("label").over(by_query()) / F.count("*").over(by_query())
     return joined.withColumn("use_fallback", share < JUDGE.min_coverage)
 
 
@@ -122,8 +122,8 @@ def rerank_select(gated: DataFrame, keep: int = JUDGE.keep) -> DataFrame:
     s = score_or_zero()
     df = gated.where(F.col("label") != "CONTRADICTION")
     ent = F.col("label") == "ENTAILMENT"
-    df = df.withColumn("_any", F.max(ent.cast("int")).over(BY_QUERY) == 1)
-    df = df.withColumn("_best", F.row_number().over(BY_QUERY.orderBy(s.desc(), F.asc("abs_id"))))
+    df = df.withColumn("_any", F.max(ent.cast("int")).over(by_query()) == 1)
+    df = df.withColumn("_best", F.row_number().over(by_query().orderBy(s.desc(), F.asc("abs_id"))))
     steps = [d for d in range(-JUDGE.adjacency, JUDGE.adjacency + 1) if d]
     near = (
         df.where(ent)

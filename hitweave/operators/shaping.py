@@ -6,15 +6,18 @@ cut to its fetch budget (at most 80 rows), so per-query arrays stay small.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from hitweave.functions.ranking import explode_rows
-from hitweave.functions.text import jaccard_sets, let, word_set
+from hitweave.functions.text import word_set
 from hitweave.operators.search import SCORE_DIGITS
 from hitweave.params import RANK
 
-BY_QUERY = Window.partitionBy("query_id")
+def by_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def score_or_zero(score: str = "score") -> Column:
@@ -24,64 +27,55 @@ def score_or_zero(score: str = "score") -> Column:
 def candidate_cut(hits: DataFrame, top_n: int = RANK.cut_top_n, delta: float = RANK.cut_delta) -> DataFrame:
     """Rank by score; keep the first ``top_n`` and everything within ``delta`` of the best."""
     s = score_or_zero()
-    rank = F.row_number().over(BY_QUERY.orderBy(s.desc(), F.asc("ord")))
-    cut = hits.withColumn("_r", rank).withColumn("_top", F.max(s).over(BY_QUERY))
+    rank = F.row_number().over(by_query().orderBy(s.desc(), F.asc("ord")))
+    cut = hits.withColumn("_r", rank).withColumn("_top", F.max(s).over(by_query()))
     kept = cut.where((F.col("_r") <= top_n) | (s >= F.col("_top") - delta))
     return kept.withColumn("ord", F.col("_r")).drop("_r", "_top")
 
 
-def mmr_order(cands: Column, k: int, lam: float) -> Column:
-    """Greedy selection over array<struct<score, words>>: 0-based positions in pick order.
+def _similarity(words: pd.Series) -> np.ndarray:
+    """Jaccard similarity of all pairs of word lists (distinct words each)."""
+    n = len(words)
+    size = words.map(len).to_numpy()
+    row = np.repeat(np.arange(n), size)
+    code, names = pd.factorize(np.concatenate([*words, np.empty(0, dtype=object)]))
+    member = np.zeros((n, len(names)), dtype=np.float32)
+    member[row, code] = 1
+    both = (member @ member.T).astype(np.float64)
+    union = size[:, None] + size[None, :] - both
+    return np.where((size[:, None] > 0) & (size[None, :] > 0), both / np.where(union == 0, 1, union), 0.0)
 
-    State: picked positions, and each candidate's largest similarity to them.
-    """
 
-    def pick(c: Column) -> Column:
-        n = F.size(c)
-
-        def step(acc: Column, _: Column) -> Column:
-            value = F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda j: F.when(
-                    ~F.array_contains(acc["picked"], j),
-                    F.struct(
-                        (lam * F.get(c, j)["score"] - (1 - lam) * F.get(acc["sim"], j)).alias("m"), (-j).alias("nj")
-                    ),
-                ),
-            )
-
-            def take(best: Column) -> Column:
-                words = F.get(c, -best["nj"])["words"]
-                return F.struct(
-                    F.concat(acc["picked"], F.array(-best["nj"])).alias("picked"),
-                    let(
-                        words,
-                        lambda w: F.zip_with(
-                            acc["sim"], c, lambda s, x: F.greatest(s, jaccard_sets(x["words"], w))
-                        ),
-                    ).alias("sim"),
-                )
-
-            return let(F.array_max(value), take)
-
-        zero = F.struct(
-            F.expr("cast(array() as array<int>)").alias("picked"), F.transform(c, lambda x: F.lit(0.0)).alias("sim")
-        )
-        greedy = F.aggregate(F.sequence(F.lit(1), F.lit(k)), zero, step, lambda a: a["picked"])
-        return F.when(n <= k, F.sequence(F.lit(0), n - 1)).otherwise(greedy)
-
-    return let(cands, pick)
+def _mmr_positions(score: np.ndarray, sim: np.ndarray, k: int, lam: float) -> list[int]:
+    nearest, left, out = np.zeros(len(score)), np.ones(len(score), dtype=bool), []
+    for _ in range(k):
+        value = np.where(left, lam * score - (1 - lam) * nearest, -np.inf)
+        best = int(np.argmax(value))
+        out.append(best)
+        left[best] = False
+        nearest = np.maximum(nearest, sim[best])
+    return out
 
 
 def mmr_select(
     hits: DataFrame, key: str, k: int = RANK.mmr_k, lam: float = RANK.mmr_lambda, text: str = "text"
 ) -> DataFrame:
-    """Maximal marginal relevance: (query_id, key, ord) of the k picked hits; shorter lists stay as they are."""
-    item = F.struct("ord", score_or_zero().alias("score"), F.col(key).alias("key"), word_set(text).alias("words"))
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_c"))
-    picks = F.transform(mmr_order(F.col("_c"), k, lam), lambda i: F.get("_c", i)["key"])
-    out = explode_rows(lists, ["query_id"], picks, "ord", key)
-    return out.withColumn("ord", F.col("ord") + 1)
+    """Maximal marginal relevance: (query_id, ord, key) of the k picked hits; shorter lists stay as they are.
+
+    Each pick depends on the ones before, so a query's list goes through one small grouped call; the lists
+    are bounded by the fetch budget of the search.
+    """
+    rows = hits.select(
+        "query_id", "ord", F.col(key).alias("key"), score_or_zero().alias("score"), word_set(text).alias("words")
+    )
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", ignore_index=True)
+        if len(pdf) > k:
+            pdf = pdf.iloc[_mmr_positions(pdf["score"].to_numpy(), _similarity(pdf["words"]), k, lam)]
+        return pd.DataFrame({"query_id": pdf["query_id"], "ord": np.arange(1, len(pdf) + 1), key: pdf["key"]})
+
+    return rows.groupBy("query_id").applyInPandas(pick, f"query_id long, ord int, {key} long")
 
 
 def source_aggregate(hits: DataFrame) -> DataFrame:
@@ -101,7 +95,7 @@ def source_boost(hits: DataFrame, per_match: float = RANK.boost_per_match, most:
     w = Window.partitionBy("query_id", "source_name")
     boost = F.avg(score_or_zero()).over(w) * (1 + F.least(F.lit(most), F.count("*").over(w) * per_match))
     out = hits.withColumn("source_boost", F.round(boost, SCORE_DIGITS))
-    order = BY_QUERY.orderBy(F.desc("source_boost"), F.asc("source_name"), score_or_zero().desc(), F.asc("ord"))
+    order = by_query().orderBy(F.desc("source_boost"), F.asc("source_name"), score_or_zero().desc(), F.asc("ord"))
     return out.withColumn("ord", F.row_number().over(order))
 
 

@@ -14,6 +14,9 @@ from hitweave.operators.search import vector_topk
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if spark.sparkContext.master.startswith("local"):
+        # test tables are tiny: without this their shuffles collapse into one task
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
