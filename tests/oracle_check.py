@@ -73,7 +73,7 @@ def main() -> None:
                 diff = compare(df, con, oracles[key])
                 state = "ok" if diff is None else f"DIFF {diff}"
             else:
-                n = df.count()
+                n = len(df.collect())
                 state = f"rows {n}" if n else "DIFF no rows"
         except Exception as e:  # noqa: BLE001
             state = f"FAIL {type(e).__name__}: {str(e)[:700]}"
