@@ -34,7 +34,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
+    return messages_from(read(spark, sf_dir, "conversations"))
+
+
+def messages_from(c: DataFrame) -> DataFrame:
     i = F.col("conv_id")
     return c.select(
         (i * 1000 + F.col("turn")).alias("_id"),
