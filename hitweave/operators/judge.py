@@ -87,9 +87,8 @@ def evidence_gate(judged: DataFrame, query: str = "query") -> DataFrame:
     """
     df = judged.withColumn("raw_label", F.coalesce("label", F.lit("NEUTRAL")))
     df = df.withColumn("relevance", F.coalesce("relevance", F.lit(0))).withColumn("evidence", trim_ws(text_or_empty("evidence")))
-    df = df.withColumns(
-        {"_e": norm_accent_insensitive("evidence"), "_q": norm_accent_insensitive(query), "_t": norm_accent_insensitive("text")}
-    )
+    body = F.col("norm_text") if "norm_text" in df.columns else norm_accent_insensitive("text")
+    df = df.withColumns({"_e": norm_accent_insensitive("evidence"), "_q": norm_accent_insensitive(query), "_t": body})
     has = F.col("evidence") != ""
     found = F.contains("_t", "_e")
     asked = F.col("evidence").contains("?") | ((F.col("_e") != "") & F.contains("_q", "_e"))
@@ -132,7 +131,8 @@ def rerank_select(gated: DataFrame, keep: int = JUDGE.keep) -> DataFrame:
         .withColumn("_near", F.lit(True))
     )
     df = df.join(near, ["query_id", "source_name", "chunk_index"], "left")
-    listed = F.when(F.col("_near") & ~ent, detect_list("text")["item_count"] >= 2)
+    items = F.col("list_items") if "list_items" in df.columns else detect_list("text")["item_count"]
+    listed = F.when(F.col("_near") & ~ent, items >= 2)
     tier = (
         F.when(~F.col("_any"), F.lit(0))
         .when(ent, 0)

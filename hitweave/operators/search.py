@@ -212,20 +212,13 @@ def _empty_term(df: DataFrame) -> DataFrame:
 def _bm25_blocks(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float], k: int) -> DataFrame:
     weights = list(fields.values())
     tok = _field_tokens(chunks, key, fields)
-    # both bounded by the checked matrix size
+    # bounded by the checked matrix size
     asked = terms.toPandas()
-    seen = _term_totals(tok, terms.select("term").distinct(), len(weights)).toPandas()
-    totals = seen[seen["term"] == ""]
-    n_chunks = int(totals["df"].iloc[0]) if len(totals) else 0
-    average = [float(totals[f"_l{i}"].iloc[0]) / n_chunks if n_chunks else 0.0 for i in range(len(weights))]
-    seen = seen[seen["term"] != ""]
     ids, row = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
-    vocabulary = pd.Index(seen["term"])
-    col = vocabulary.get_indexer(asked["term"])
-    df = seen["df"].to_numpy(dtype=np.float64)
+    col, vocabulary = pd.factorize(asked["term"])
+    df, n_chunks, average = _bm25_totals(tok, list(vocabulary), len(weights))
     matrix = np.zeros((len(vocabulary), len(ids)))
-    found = col >= 0
-    matrix[col[found], row[found]] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))[col[found]]
+    matrix[col, row] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))[col]
     shared = chunks.sparkSession.sparkContext.broadcast((ids, list(vocabulary), matrix, average))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +236,38 @@ def _bm25_blocks(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str
     return tok.mapInArrow(score, f"query_id long, {key} long, score double")
 
 
+def _bm25_totals(tok: DataFrame, vocabulary: list[str], n: int) -> tuple[np.ndarray, int, list[float]]:
+    """Document frequency per vocabulary term, number of chunks, mean field lengths.
+
+    Every task emits one small count per term it met (term -1: chunks, -2-i: length of field i).
+    """
+    shared = tok.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value, pa.string())
+        v = len(words)
+        total = np.zeros(v + 1 + n, dtype=np.int64)
+        for batch in batches:
+            met = []
+            for i in range(n):
+                lists = batch.column(i + 1)
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy()
+                met.append((np.repeat(np.arange(batch.num_rows), size) * v + term)[term >= 0])
+                total[v + 1 + i] += int(size.sum())
+            total[v] += batch.num_rows
+            total[:v] += np.bincount(np.unique(np.concatenate(met)) % max(v, 1), minlength=v)[:v].astype(np.int64)
+        ids = np.concatenate([np.arange(v), np.arange(-1, -2 - n, -1)])
+        keep = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(total[keep])], ["id", "n"])
+
+    sums = tok.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = dict(zip(sums["id"], sums["n"]))
+    chunks = int(found.get(-1, 0))
+    df = np.array([found.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64)
+    return df, chunks, [float(found.get(-2 - i, 0)) / chunks if chunks else 0.0 for i in range(n)]
+
+
 def _weighted_frequency(
     part: pa.RecordBatch, words: pa.Array, weights: list[float], average: list[float]
 ) -> np.ndarray:

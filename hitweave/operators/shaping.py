@@ -7,12 +7,14 @@ cut to its fetch budget (at most 80 rows), so per-query arrays stay small.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from hitweave.functions.text import word_set
+from hitweave.functions.lists import detect_list
+from hitweave.functions.text import norm_accent_insensitive, word_set
 from hitweave.operators.search import SCORE_DIGITS
 from hitweave.params import RANK
 
@@ -33,14 +35,12 @@ def candidate_cut(hits: DataFrame, top_n: int = RANK.cut_top_n, delta: float = R
     return kept.withColumn("ord", F.col("_r")).drop("_r", "_top")
 
 
-def _similarity(words: pd.Series) -> np.ndarray:
+def _similarity(words: pa.ListArray) -> np.ndarray:
     """Jaccard similarity of all pairs of word lists (distinct words each)."""
-    n = len(words)
-    size = words.map(len).to_numpy()
-    row = np.repeat(np.arange(n), size)
-    code, names = pd.factorize(np.concatenate([*words, np.empty(0, dtype=object)]))
-    member = np.zeros((n, len(names)), dtype=np.float32)
-    member[row, code] = 1
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    member = np.zeros((len(words), len(coded.dictionary)), dtype=np.float32)
+    member[np.repeat(np.arange(len(words)), size), coded.indices.to_numpy()] = 1
     both = (member @ member.T).astype(np.float64)
     union = size[:, None] + size[None, :] - both
     return np.where((size[:, None] > 0) & (size[None, :] > 0), both / np.where(union == 0, 1, union), 0.0)
@@ -65,17 +65,32 @@ def mmr_select(
     Each pick depends on the ones before, so a query's list goes through one small grouped call; the lists
     are bounded by the fetch budget of the search.
     """
-    rows = hits.select(
-        "query_id", "ord", F.col(key).alias("key"), score_or_zero().alias("score"), word_set(text).alias("words")
-    )
+    words = F.col("word_set") if "word_set" in hits.columns else word_set(text)
+    rows = hits.select("query_id", "ord", F.col(key).alias("key"), score_or_zero().alias("score"), words.alias("words"))
+
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord").combine_chunks()
+        if table.num_rows > k:
+            sim = _similarity(table["words"].chunk(0))
+            table = table.take(_mmr_positions(table["score"].to_numpy(), sim, k, lam))
+        place = pa.array(np.arange(1, table.num_rows + 1), pa.int32())
+        return pa.table({"query_id": table["query_id"], "ord": place, key: table["key"]})
+
+    return rows.groupBy("query_id").applyInArrow(pick, f"query_id long, ord int, {key} long")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
-        if len(pdf) > k:
-            pdf = pdf.iloc[_mmr_positions(pdf["score"].to_numpy(), _similarity(pdf["words"]), k, lam)]
-        return pd.DataFrame({"query_id": pdf["query_id"], "ord": np.arange(1, len(pdf) + 1), key: pdf["key"]})
 
-    return rows.groupBy("query_id").applyInPandas(pick, f"query_id long, ord int, {key} long")
+def with_features(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """Per chunk what selection needs of its text: normalised form, word set, number of list items.
+
+    Belongs to ingestion: a chunk appears in many hit lists, its text need be analysed only once.
+    """
+    return chunks.withColumns(
+        {
+            "norm_text": norm_accent_insensitive(text),
+            "word_set": word_set(text),
+            "list_items": detect_list(text)["item_count"],
+        }
+    )
 
 
 def source_aggregate(hits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hitweave.functions import lists as L
 from hitweave.functions import text as X
 from hitweave.operators import judge as J
+from hitweave.operators.shaping import with_features
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import nai
 from hitweave.plans.tables import HITS_SQL, hits, queries, read
@@ -32,14 +33,20 @@ JUDGED_SQL = f"""{HITS_SQL},
     gated AS (SELECT *, CASE WHEN downgrade_reason IS NOT NULL THEN 'NEUTRAL' ELSE raw_label END AS label FROM reasoned)"""
 
 
+def listy(c):
+    """List-like text in place of the original, which the evidence is quoted from."""
+    listed = F.when(F.col("vec_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit("\n- "))).otherwise(F.col("text"))
+    return with_features(c.withColumn("original", F.col("text")).withColumn("text", listed))
+
+
 def judged(spark, sd):
     q = queries(spark, sd).select("query_id", "query")
-    h = hits(spark, sd).join(q, "query_id").withColumn("abs_id", F.col("ord") - 1)
+    h = hits(spark, sd, prepare=listy).join(q, "query_id").withColumn("abs_id", F.col("ord") - 1)
+    evidence = F.expr(EVIDENCE.replace("text", "original"))
     h = h.withColumns(
-        {"label": F.expr(LABEL), "relevance": F.expr(RELEVANCE), "evidence": F.expr(EVIDENCE), "score": F.expr(SPREAD)}
+        {"label": F.expr(LABEL), "relevance": F.expr(RELEVANCE), "evidence": evidence, "score": F.expr(SPREAD)}
     )
-    listy = F.when(F.col("vec_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit("\n- "))).otherwise(F.col("text"))
-    return h.withColumn("text", listy)
+    return h.drop("original", "word_set")
 
 
 def gated(spark, sd):

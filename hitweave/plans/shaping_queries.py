@@ -30,7 +30,7 @@ def _cut(spark, sd):
 
 @query("mmr_select")
 def _mmr(spark, sd):
-    return H.mmr_select(H.candidate_cut(hits(spark, sd)), "vec_id")
+    return H.mmr_select(H.candidate_cut(hits(spark, sd, prepare=H.with_features)), "vec_id")
 
 
 @query(

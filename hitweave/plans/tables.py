@@ -118,15 +118,21 @@ QUERIES_SQL = """queries AS (
 HITS_K = 48
 
 
-def hits(spark: SparkSession, sf_dir: str, k: int = HITS_K) -> DataFrame:
-    """Ordered hit lists: the nearest corpus chunks of every query, scores shrunk to spread ties."""
+def hits(spark: SparkSession, sf_dir: str, k: int = HITS_K, prepare=None) -> DataFrame:
+    """Ordered hit lists: the nearest corpus chunks of every query.
+
+    ``prepare`` adds columns to the corpus before its chunks are spread over the lists.
+    """
     c = corpus(spark, sf_dir)
+    plain = c.columns
+    c = prepare(c) if prepare else c
     top = vector_topk(
         queries(spark, sf_dir).select("query_id", "embedding"), c.select("vec_id", "embedding"), "vec_id", k
     )
     return top.join(c.drop("embedding"), "vec_id").select(
         "query_id", "ord", "score", "vec_id", "collection", "source_name", "chunk_index", "total_chunks",
         "prev_chunk_index", "next_chunk_index", "text", "content_without_overlap",
+        *[x for x in c.columns if x not in plain],
     )
 
 
