@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from hitweave.functions.ranking import explode_rows, top_rank
 from hitweave.functions.text import norm_accent_insensitive
 from hitweave.params import SEARCH
+from hitweave.session import write_table
 
 SCORE_DIGITS = 9
 
@@ -175,7 +176,7 @@ def bm25_topk(
     Field frequencies are length-normalised and weighted before saturation;
     idf = ln(1 + (N - df + .5) / (df + .5)), df counted over all fields.
 
-    Chunk data is never shuffled: one pass counts document frequencies (combined
+    Chunks are tokenised once into a table in the shared folder and never shuffled: one pass counts document frequencies (combined
     in the tasks), a second multiplies each batch of chunks with the term-query
     matrix and keeps k rows per query, so frequent words cost arithmetic, not
     rows. The matrix is bounded by ``limit_bytes``; past it the same scores come
@@ -211,7 +212,7 @@ def _empty_term(df: DataFrame) -> DataFrame:
 
 def _bm25_blocks(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float], k: int) -> DataFrame:
     weights = list(fields.values())
-    tok = _field_tokens(chunks, key, fields)
+    tok = write_table(_field_tokens(chunks, key, fields), "tokens")
     # bounded by the checked matrix size
     asked = terms.toPandas()
     ids, row = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
@@ -294,7 +295,7 @@ def bm25_pairs(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str,
     n, weights = len(fields), list(fields.values())
     lens = [f"_l{i}" for i in range(n)]
     vocabulary = terms.select("term").distinct()
-    tok = _field_tokens(chunks, key, fields)
+    tok = write_table(_field_tokens(chunks, key, fields), "tokens")
     seen = _term_totals(tok, vocabulary, n)
     totals = seen.where("term = ''")
     count = totals.select("df").scalar()
