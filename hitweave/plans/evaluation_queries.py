@@ -10,8 +10,8 @@ from hitweave.plans.tables import HITS_SQL, hits, queries, read
 
 # the source of the query's own vector is expected; every twelfth case must be refused
 CASES_SQL = f"""{HITS_SQL},
-    cases AS (SELECT query_id, CASE WHEN query_id % 12 = 0 THEN [] ELSE ['SRC-' || label, 'other'] END AS source_matches, query_id % 12 = 0 AS should_refuse
-              FROM queries JOIN embeddings ON vec_id = query_id),
+    cases AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 12 = 0 THEN [] ELSE ['SRC-' || label, 'other'] END AS source_matches,
+                     vec_id % 12 = 0 AS should_refuse FROM embeddings),
     ranked15 AS (SELECT query_id, ord - 1 AS ord, source_name, CASE WHEN query_id % 24 = 0 THEN score * 0.3 ELSE score END AS score, text FROM hits
                  WHERE ord BETWEEN 2 AND 16 AND query_id % 10 <> 3),
     per AS (SELECT c.query_id, any_value(should_refuse) AS should_refuse, any_value(len(source_matches)) AS n, count(source_name) AS total_chunks,

@@ -26,19 +26,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder of this machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if d:
-        return d
+    global _local_dir
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    d = tempfile.mkdtemp(prefix="hitweave-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="hitweave-")
+    return _local_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
