@@ -92,11 +92,15 @@ def _budget(spark, sd):
 
 @query(
     "vector_topk",
-    f"""WITH {HITS_SQL} SELECT query_id, vec_id, ord, round(score, 4) AS score FROM ranked WHERE ord <= 10""",
+    """WITH scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+        round(greatest(0.0, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS score
+      FROM embeddings q, embeddings c),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS ord FROM scored)
+    SELECT query_id, vec_id, ord, round(score, 4) AS score FROM ranked WHERE ord <= 10""",
 )
 def _vector(spark, sd):
-    q = queries(spark, sd)
-    top = S.vector_topk(q, read(spark, sd, "embeddings"), "vec_id", 10)
+    e = read(spark, sd, "embeddings")
+    top = S.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e, "vec_id", 10)
     return top.select("query_id", "vec_id", "ord", F.round("score", 4).alias("score"))
 
 
