@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import gif, mixing, quality, sharding
+from hitweave.llm import decontam, gif, html, licences, mixing, neardup, quality, sharding, toxicity
 from hitweave.llm.registry import query, read
 
 
@@ -30,3 +30,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return s.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.REJECT).cast("int").alias("predicted"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold("doc_id", 3) == 1
+    s = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+    return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
+@query("op1_licences")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op6_html")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return p.withColumn("n_chars", F.length("text").cast("long"))
