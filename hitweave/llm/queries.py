@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import decontam, gif, html, licences, mixing, neardup, quality, sharding, toxicity
+from hitweave.llm import decontam, gif, html, licences, mixing, neardup, pii, quality, sharding, toxicity
 from hitweave.llm.registry import query, read
 
 
@@ -58,3 +58,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return p.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
