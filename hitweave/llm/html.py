@@ -4,8 +4,8 @@ A page becomes a tree of elements; broken markup is read as browsers do for the
 block begins, stray end tags are ignored, a cut page ends all elements). Paragraphs give points for themselves, their
 commas and their length to parent, grandparent and further ancestors, each share smaller; an element's points are
 discounted by the part of its text that stands in links. The best element (or the article around it) and those
-siblings that score near it or are plain paragraphs are kept. Menus, headers, footers, sidebars, notices, adverts,
-forms, comments and hidden elements are left out by element, role and class.
+siblings that score near it or are plain paragraphs are kept; beside an article only further articles. Menus, headers,
+footers, sidebars, notices, adverts, forms, comments and hidden elements are left out by element, role and class.
 
 Defined cases: null and empty pages, and pages without text outside the left-out parts, give an empty text; a
 character reference without a semicolon or a tag cut by the page's end are read as far as they go; repeated pages give
@@ -207,12 +207,12 @@ def main_text(page: str | None) -> str:
             return ""
     keep = [best]
     if best.parent is not None and best.parent is not root:
-        least = max(10.0, best.score * 0.2)
+        least = best.score * 0.2
         keep = []
         for s in best.parent.parts:
             if s is best:
                 keep.append(s)
-            elif isinstance(s, Node) and not s.out:
+            elif isinstance(s, Node) and not s.out and (best.tag not in ("article", "main") or s.tag == best.tag):
                 density = s.links / s.text if s.text else 1.0
                 if s.score >= least or s.tag == "p" and (s.text > 80 and density < 0.25 or s.text and not density):
                     keep.append(s)

@@ -3,9 +3,9 @@
 Regular expressions with checks give the base spans (e-mail, IP address, card, phone). The field's nodes are these spans
 and candidates that no expression accepts: numbers of 7 to 19 digits, and words equal to the name part of an address
 that the text holds. Neighbours in the text are joined by chain edges; nodes with equal digits, equal last digits or equal
-names, however far apart, are joined by skip edges from each to the next one. Loopy belief propagation (``ROUNDS``
-damped rounds) lets linked nodes agree over the whole text; base spans keep their label. A candidate whose most
-probable label is a kind of personal data, with ``LEAST`` or more, is added as a span.
+names, however far apart, are joined by skip edges to the first base span among them, or else to the first node. Loopy
+belief propagation (``ROUNDS`` damped rounds) lets linked nodes agree over the whole text; base spans keep their label.
+A candidate whose most probable label is a kind of personal data, with ``LEAST`` or more, is added as a span.
 
 Potentials are trained by pseudo-likelihood on the nodes of ``SAMPLE`` texts at most that hold any, chosen by hash: base
 spans have their kind, candidates without a link to a base span have none, and linked candidates, whose label is
@@ -185,10 +185,13 @@ class Graph:
         pairs = [np.zeros((0, 2), np.int64)]
         for name in ("key", "near"):
             k = self.fields[name]
-            order = np.lexsort((one, k, self.owner))
-            a, b = order[:-1], order[1:]
-            ok = (self.owner[a] == self.owner[b]) & (k[a] == k[b]) & (k[a] > 0)
-            pairs.append(np.column_stack([a[ok], b[ok]]))
+            # in each group the first base span, or else the first node, is joined to all others
+            order = np.lexsort((one, self.fields["label"] == 0, k, self.owner))
+            new = np.ones(n, bool)
+            new[1:] = (self.owner[order[1:]] != self.owner[order[:-1]]) | (k[order[1:]] != k[order[:-1]])
+            hub = order[np.maximum.accumulate(np.where(new, one, 0))] if n else order
+            ok = ~new & (k[order] > 0)
+            pairs.append(np.column_stack([hub[ok], order[ok]]))
         self.skip = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
 
 
@@ -245,12 +248,13 @@ class Field:
         c, s = len(g.chain), len(g.skip)
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
         message = np.zeros((len(source), LABELS))
+        open_ = (y == 0).astype(np.float64)  # what is observed hears nothing
 
         def belief() -> np.ndarray:
-            return own + np.column_stack([np.bincount(target, message[:, k], n) for k in range(LABELS)])
+            return own + open_[:, None] * np.column_stack([np.bincount(target, message[:, k], n) for k in range(LABELS)])
 
         for _ in range(ROUNDS if len(source) else 0):
-            out = belief()[source] - message[back]
+            out = belief()[source] - open_[source, None] * message[back]
             new = np.empty_like(message)
             for part, pair in ((slice(0, c), self.chain), (slice(c, 2 * c), self.chain.T), (slice(2 * c, None), agree)):
                 z = out[part][:, :, None] + pair[None]
