@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from hitweave.llm.words import slices
 
@@ -230,4 +231,5 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
             texts = pa.array([main_text(x.as_py()) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), texts], [*names, out])
 
-    return pages.mapInArrow(run, pages.select(*names).schema.add(out, "string"))
+    fields = [pages.schema[c] for c in names]
+    return pages.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.llm.columns import unused_prefix
 from hitweave.session import write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -70,8 +71,9 @@ def pareto_rank(u: Column, f: Column) -> Column:
 
 def _match(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join by ``source``, where null equals null."""
-    r = right.withColumnRenamed("source", "_right")
-    return left.join(r, F.col("source").eqNullSafe(F.col("_right")), how).drop("_right")
+    name = unused_prefix(left) + "_right"
+    r = right.withColumnRenamed("source", name)
+    return left.join(r, F.col("source").eqNullSafe(F.col(name)), how).drop(name)
 
 
 def _cut(d: DataFrame, want: DataFrame, bins: int) -> DataFrame:
@@ -160,7 +162,8 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken."""
     _, p = mix_plan(docs, seed=seed, **options)
-    d = _match(docs, p.select("source", *[F.col(c).alias(f"_{c}") for c in p.columns if c != "source"]))
-    d = d.withColumn("_size", word_count("text")).withColumn("_u", chance("doc_id", "text", seed))
-    d = d.withColumn("_n", copies_taken("_")).where("_n > 0")
-    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    x = unused_prefix(docs)
+    d = _match(docs, p.select("source", *[F.col(c).alias(x + c) for c in p.columns if c != "source"]))
+    d = d.withColumn(f"{x}size", word_count("text")).withColumn(f"{x}u", chance("doc_id", "text", seed))
+    d = d.withColumn(f"{x}n", copies_taken(x)).where(F.col(f"{x}n") > 0)
+    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{x}n"))).alias(f"{x}copy")).drop(f"{x}copy")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.llm.columns import unused_prefix
 from hitweave.llm.words import mix, shingles, slices, words
 from hitweave.session import write_table
 
@@ -310,8 +311,10 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     each = ids.groupBy("h", "doc_id").agg(F.count("*").alias("n")).join(classes, "h", "left")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("m")
     chosen = each.groupBy(F.coalesce("root", "h").alias("root")).agg(first)
-    chosen = write_table(chosen.select(F.col("m.h").alias("_h"), F.col("m.doc_id").alias("_id"), F.col("m.n").alias("_n")), "chosen")
-    d = docs.withColumn("_h", _digest()).join(chosen, "_h").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = d.where("_n = 1").select(*docs.columns)
-    again = d.where("_n > 1").dropDuplicates(["_h"]).select(*docs.columns)
+    p = unused_prefix(docs)
+    h, key, n = f"{p}h", f"{p}id", f"{p}n"
+    chosen = write_table(chosen.select(F.col("m.h").alias(h), F.col("m.doc_id").alias(key), F.col("m.n").alias(n)), "chosen")
+    d = docs.withColumn(h, _digest()).join(chosen, h).where(F.col("doc_id").eqNullSafe(F.col(key)))
+    once = d.where(F.col(n) == 1).select(*docs.columns)
+    again = d.where(F.col(n) > 1).dropDuplicates([h]).select(*docs.columns)
     return once.unionByName(again)

@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hitweave.llm.columns import unused_prefix
 from hitweave.llm.words import mix, raw, shingles, slices, words
 from hitweave.session import write_table
 
@@ -207,7 +209,7 @@ def score_features(x: DataFrame, model: Model, key: str = "doc_id") -> DataFrame
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of the documents and their score, in one pass without a shuffle."""
+    """All columns of the documents and their score, in one pass without a shuffle. ``out`` must be a new name."""
     names = [*docs.columns, out]
     at = docs.columns.index(text)
 
@@ -216,8 +218,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "s
             s = pa.array(model.score(statistics(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, s], names)
 
-    schema = docs.schema.add(out, "double") if out not in docs.columns else docs.schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def quality_labels(labels: DataFrame) -> DataFrame:
@@ -235,4 +236,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Dat
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     x = features(docs.select("doc_id", "text"))
     model = fit(x.join(known, "doc_id", "left_semi"), quality_labels(labels))
-    return score_texts(docs, model, out="_score").where(F.col("_score") >= reject).drop("_score")
+    score = unused_prefix(docs) + "score"
+    return score_texts(docs, model, out=score).where(F.col(score) >= reject).drop(score)

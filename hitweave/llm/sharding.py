@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.llm.columns import unused_prefix
 from hitweave.session import write_table
 
 SLOTS = 4096
@@ -125,9 +126,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
 
 
 def add_shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """The documents with their ``shard``; texts are not shuffled, only the map is sent to them."""
-    d = with_slots(docs, slots=slots).withColumnsRenamed({"virtual_slot": "_slot", "size": "_size"})
-    sizes = d.select(F.col("_slot").alias("virtual_slot"), F.col("_size").alias("size"))
-    m = balanced_map(sizes, shards, slots).where("version = 1").select(F.col("virtual_slot").alias("_slot"), "shard")
+    """The documents with their ``shard``; texts are not shuffled, only the map is sent to them.
+
+    A column ``shard`` that the documents have is replaced.
+    """
+    sizes = with_slots(docs.select("doc_id", "text"), slots=slots).select("virtual_slot", "size")
+    p = unused_prefix(docs)
+    m = balanced_map(sizes, shards, slots).where("version = 1").select(F.col("virtual_slot").alias(f"{p}slot"), F.col("shard").alias(f"{p}shard"))
+    d = docs.withColumn(f"{p}slot", slot_of("doc_id", "text", slots)).join(F.broadcast(m), f"{p}slot")
     keep = [c for c in docs.columns if c != "shard"]
-    return d.drop("shard").join(F.broadcast(m), "_slot").select(*keep, "shard")
+    return d.select(*keep, F.col(f"{p}shard").alias("shard"))
