@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.operators.conversations import conversation_summary, is_reset, last_resets, reset_history
+from hitweave.streaming.ingest import with_trigger
 
 
 def _batch_writer(path: str):
@@ -15,15 +16,23 @@ def _batch_writer(path: str):
     return write
 
 
-def stream_conversation_summary(messages: DataFrame, out: str, checkpoint: str, dedupe_after: str | None = None):
+def stream_conversation_summary(
+    messages: DataFrame, out: str, checkpoint: str, dedupe_after: str | None = None, every: str | None = None
+):
     """Keep ``conversation_summary`` up to date; changed conversations are written per batch.
 
-    ``dedupe_after`` (a watermark delay) also drops redelivered messages.
+    ``dedupe_after`` (a watermark delay) also drops redelivered messages and bounds the ids that are remembered; the
+    summaries themselves are one row for each conversation. ``every`` keeps the query running.
     """
     if dedupe_after:
         messages = messages.withWatermark("timestamp", dedupe_after).dropDuplicatesWithinWatermark(["message_id", "_id"])
     writer = conversation_summary(messages).writeStream.outputMode("update").foreachBatch(_batch_writer(out))
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return with_trigger(writer.option("checkpointLocation", checkpoint), every).start()
+
+
+def compact_summary(spark: SparkSession, out: str, target: str) -> None:
+    """Write the current row of every conversation to a new folder as one batch."""
+    latest_summary(spark, out).write.mode("overwrite").parquet(f"{target}/batch_id=0")
 
 
 def latest_summary(spark: SparkSession, out: str) -> DataFrame:
@@ -33,7 +42,7 @@ def latest_summary(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy("message_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s")).select("message_id", "s.*")
 
 
-def stream_reset(messages: DataFrame, out: str, checkpoint: str):
+def stream_reset(messages: DataFrame, out: str, checkpoint: str, every: str | None = None):
     """Streaming form of ``reset_history``: log the messages and, per batch, each conversation's last reset.
 
     No conversation's state lives in one task; a reset takes effect when the log is read.
@@ -44,7 +53,7 @@ def stream_reset(messages: DataFrame, out: str, checkpoint: str):
         last_resets(batch).write.mode("overwrite").parquet(f"{out}/resets/batch_id={batch_id}")
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return with_trigger(writer, every).start()
 
 
 def live_history(spark: SparkSession, out: str) -> DataFrame:

@@ -10,25 +10,61 @@ def put(folder, name, text):
 
 
 def test_ingest_replaces_by_source(spark, tmp_path):
-    src, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    root.mkdir()
+    src = root / "v1"
     put(src, "a.txt", "palabra " * 400)
     put(src, "b.md", "¿Uno?\nEsta es la primera respuesta larga.\n¿Dos?\nEsta es la segunda respuesta larga.\n¿Tres?\nEsta es la tercera respuesta larga.")
     put(src, "c.txt", "   ")
     put(src, "d.exe", "skip")
-    ingest.stream_ingest(spark, str(src), store, mark).awaitTermination()
+    run = lambda: ingest.stream_ingest(spark, str(root), store, mark, version_folders=1).awaitTermination()
+    run()
     first = ingest.current_chunks(spark, store).groupBy("source_name", "collection").count().collect()
     assert {(r[0], r[1], r[2]) for r in first} == {("a.txt", "doc", 3), ("b.md", "qna", 3)}
     state = {r["source_name"]: (r["status"], r["busy"]) for r in ingest.current_status(spark.read.parquet(f"{store}/status")).collect()}
     assert state == {"a.txt": ("completed", False), "b.md": ("completed", False), "c.txt": ("failed", False)}
-    (src / "v2").mkdir()
-    put(src / "v2", "a.txt", "corto y nuevo")
-    ingest.stream_ingest(spark, str(src), store, mark).awaitTermination()
+    put(root / "v2", "a.txt", "corto y nuevo")
+    run()
     second = ingest.current_chunks(spark, store).where("source_name = 'a.txt'").collect()
     assert [r["text"] for r in second] == ["corto y nuevo"]
     # a retried batch rewrites only its own folder
     batch = spark.read.parquet(f"{store}/chunks").count()
-    ingest.stream_ingest(spark, str(src), store, mark).awaitTermination()
+    run()
     assert spark.read.parquet(f"{store}/chunks").count() == batch
+    # compaction keeps what is current and nothing else
+    small = str(tmp_path / "small")
+    ingest.compact(spark, store, small)
+    rows = lambda s: sorted(map(str, ingest.current_chunks(spark, s).drop("batch_id").collect()))
+    assert rows(small) == rows(store) and spark.read.parquet(f"{small}/chunks").count() == 4
+    state = {r["source_name"]: r["status"] for r in ingest.current_status(spark.read.parquet(f"{small}/status")).collect()}
+    assert state == {"a.txt": "completed", "b.md": "completed", "c.txt": "failed"}
+
+
+def test_equal_names_in_two_folders_are_two_sources(spark, tmp_path):
+    root, store, mark = tmp_path / "in + more", str(tmp_path / "store"), str(tmp_path / "mark")
+    root.mkdir()
+    put(root / "x", "a.txt", "uno")
+    put(root / "y z", "a.txt", "dos")
+    ingest.stream_ingest(spark, str(root), store, mark).awaitTermination()
+    got = {(r["source_name"], r["text"]) for r in ingest.current_chunks(spark, store).collect()}
+    assert got == {("x/a.txt", "uno"), ("y z/a.txt", "dos")}
+
+
+def test_continuous_trigger_picks_up_later_files(spark, tmp_path):
+    import time
+
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    put(root, "a.txt", "uno")
+    q = ingest.stream_ingest(spark, str(root), store, mark, every="1 second")
+    try:
+        q.processAllAvailable()
+        put(root, "b.txt", "dos")
+        end = time.time() + 60
+        while time.time() < end and ingest.current_chunks(spark, store).count() < 2:
+            time.sleep(0.5)
+        assert {r["text"] for r in ingest.current_chunks(spark, store).collect()} == {"uno", "dos"}
+    finally:
+        q.stop()
 
 
 ROWS = [
