@@ -1,8 +1,8 @@
 """Retrieval operators: nearest vectors, keyword scoring and their fusion.
 
-Queries come as a table, so thousands are answered by one job. The query side
-is small next to the corpus; where it is shipped to the tasks its size is
-checked first, and beyond the bound the same operator runs as a shuffle.
+Queries come as a table, so thousands are answered by one job. Queries are
+shipped to the tasks in blocks of a bounded size, each block for one pass over
+the chunks; the same code runs for few and for many.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from hitweave.params import SEARCH
 from hitweave.session import write_table
 
 SCORE_DIGITS = 9
+# scores that are held at once in a task, and chunks scored at once by words
+TILE = 2_000_000
+BATCH = 4096
 
 
 # --- nearest vectors -------------------------------------------------------
@@ -50,22 +53,49 @@ class _Running:
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
-        self.score: np.ndarray | None = None
-        self.keys: np.ndarray | None = None
-
-    def add(self, keys: np.ndarray, score: np.ndarray) -> None:
-        """``score`` has one row per query and one column per key."""
-        s, key = _best(np.round(score, SCORE_DIGITS), keys, self.k)
-        if self.score is not None:
-            s, key = _best(np.hstack([self.score, s]), np.hstack([self.keys, key]), self.k)
-        self.score, self.keys = s, key
+        self.score = np.full((len(ids), k), -np.inf)
+        self.keys = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, keys: np.ndarray, score: np.ndarray, first: int = 0) -> None:
+        """``score`` has one row per query, from query ``first`` on, and one column per key."""
+        score = np.round(score, SCORE_DIGITS)
+        # only queries with a score that can still enter their list
+        rows = np.flatnonzero((score >= self.score[first : first + len(score), -1:]).any(axis=1))
+        if len(rows):
+            s, key = _best(score[rows], keys, self.k)
+            at = rows + first
+            self.score[at], self.keys[at] = _best(np.hstack([self.score[at], s]), np.hstack([self.keys[at], key]), self.k)
 
     def rows(self, key: str, above: float = -1.0) -> pd.DataFrame:
-        if self.score is None:
-            return pd.DataFrame({"query_id": self.ids[:0], key: self.ids[:0], "score": np.zeros(0)})
-        n = self.score.shape[1]
-        out = pd.DataFrame({"query_id": np.repeat(self.ids, n), key: self.keys.ravel(), "score": self.score.ravel()})
-        return out[out["score"] > above]
+        keep = self.score > above
+        ids = np.repeat(self.ids, keep.sum(axis=1))
+        return pd.DataFrame({"query_id": ids, key: self.keys[keep], "score": self.score[keep]})
+
+
+def _tiles(n: int, columns: int) -> Iterator[tuple[int, int]]:
+    """Ranges of queries whose scores against ``columns`` chunks are ``TILE`` cells at most."""
+    step = max(1, TILE // max(1, columns))
+    for lo in range(0, n, step):
+        yield lo, min(n, lo + step)
+
+
+def query_blocks(queries: DataFrame, row_bytes: int, limit: int) -> Iterator[DataFrame]:
+    """The queries in blocks of about ``limit`` bytes, by hash of their id; one block is one pass over the chunks."""
+    n = max(1, -(-queries.count() * row_bytes // limit))
+    for b in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+
+
+def _cut(best: DataFrame, queries: DataFrame, k: int | str, key: str) -> DataFrame:
+    """The best k of each query over all tasks; ``k`` may be a column of the queries."""
+    if isinstance(k, int):
+        return top_rank(best, ["query_id"], [F.desc("score"), F.asc(key)], k)
+    ranked = best.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))))
+    return ranked.join(queries.select("query_id", F.col(k).alias("_k")), "query_id").where("ord <= _k").drop("_k")
+
+
+def _most(queries: DataFrame, k: int | str) -> int:
+    return k if isinstance(k, int) else int(queries.agg(F.max(k).alias("k")).first().k or 1)
 
 
 def _cosine(unit: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -76,69 +106,47 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def fits(df: DataFrame, row_bytes: int, limit: int) -> bool:
-    """True if at most ``limit`` bytes; counts no further than the bound."""
-    most = max(1, limit // max(1, row_bytes))
-    return df.limit(most + 1).count() <= most
-
-
 def vector_topk(
-    queries: DataFrame, chunks: DataFrame, key: str, k: int, limit_bytes: int = SEARCH.broadcast_bytes
+    queries: DataFrame, chunks: DataFrame, key: str, k: int | str, limit_bytes: int = SEARCH.broadcast_bytes
 ) -> DataFrame:
     """The k nearest chunks by cosine, score ``max(0, 1 - distance)``, ties by ``key``.
 
-    ``queries(query_id long, embedding)``, ``chunks(key long, embedding)``. Every task multiplies blocks of
-    chunk vectors with the query block and keeps k rows per query, so a task
-    emits at most queries x k rows and scored pairs never exist as rows.
+    ``queries(query_id long, embedding)``, ``chunks(key long, embedding)``; ``k`` is a number or a column of the queries.
+    Rows without a vector have no neighbours; a vector of another length stops the job.
+
+    Queries are sent to the tasks in blocks of a fixed size. A task multiplies tiles of ``TILE`` cells of queries and
+    chunks and keeps k rows per query, so scored pairs never exist as rows and chunk data is never shuffled.
     """
-    chunks = chunks.select(key, "embedding")
-    queries = queries.select("query_id", "embedding")
+    some = F.col("embedding").isNotNull()
+    chunks = chunks.where(some).select(key, "embedding")
+    asked = queries.where(some)
     schema = f"query_id long, {key} long, score double"
-    dims = queries.select(F.size("embedding").alias("d")).first()
-    if dims is None:
+    head = asked.select(F.size("embedding").alias("d")).first()
+    if head is None:
         return chunks.sparkSession.createDataFrame([], schema + ", ord int")
-    if fits(queries, dims["d"] * 8, limit_bytes):
-        local = queries.toPandas()
-        ids, matrix = local["query_id"].to_numpy(), _stack(local["embedding"])
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    d, most = head["d"], _most(queries, k)
+    vector = F.when(F.size("embedding") == d, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors of {d} numbers expected")))
+    chunks, asked = chunks.withColumn("embedding", vector), asked.withColumn("embedding", vector)
+    best = None
+    for block in query_blocks(asked.select("query_id", "embedding"), (d + 2 * most) * 8, limit_bytes):
+        local = block.toPandas()
+        if not len(local):
+            continue
+        shared = chunks.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(_stack(local["embedding"]))))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, unit = shared.value
-            run = _Running(ids, k)
+            run = _Running(ids, most)
             for b in batches:
                 if len(b):
-                    run.add(b[key].to_numpy(), _cosine(unit, _stack(b["embedding"])))
+                    keys, vectors = b[key].to_numpy(), _unit(_stack(b["embedding"])).T
+                    for lo, hi in _tiles(len(ids), len(b)):
+                        run.add(keys, np.maximum(0.0, unit[lo:hi] @ vectors), lo)
             yield run.rows(key)
 
-        partial = chunks.mapInPandas(score, schema)
-    else:
-        partial = _vector_blocks(queries, chunks, key, k, schema)
-    return top_rank(partial, ["query_id"], [F.desc("score"), F.asc(key)], k)
-
-
-def _vector_blocks(queries: DataFrame, chunks: DataFrame, key: str, k: int, schema: str) -> DataFrame:
-    """Both sides cut into blocks of bounded size; one task per block pair keeps its best k."""
-    block = 8192
-    n_q = max(1, -(-queries.count() // block))
-    n_c = max(1, -(-chunks.count() // (4 * block)))
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
-    )
-    c = chunks.withColumn("_c", F.pmod(F.xxhash64(key), F.lit(n_c))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    )
-    q, c = q.withColumn("_c", F.col("_c").cast("long")), c.withColumn("_q", F.col("_q").cast("long"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], key: [], "score": []}).astype(
-                {"query_id": "int64", key: "int64", "score": "float64"}
-            )
-        run = _Running(left["query_id"].to_numpy(), k)
-        run.add(right[key].to_numpy(), _cosine(_unit(_stack(left["embedding"])), _stack(right["embedding"])))
-        return run.rows(key)
-
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(score, schema)
+        part = chunks.mapInPandas(score, schema)
+        best = part if best is None else best.unionByName(part)
+    return _cut(best, queries, k, key)
 
 
 # --- keyword scoring -------------------------------------------------------
@@ -152,91 +160,91 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return explode_rows(queries, ["query_id"], F.array_distinct(tokens(F.col(text))), value="term").drop("_i")
 
 
-def _with_fields(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """Token lists and lengths per weighted field."""
-    out = chunks.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
-    return out.select("*", *[F.size(f"_t{i}").alias(f"_l{i}") for i in range(len(fields))])
-
-
-def _tag_terms(column: str, field: int) -> Column:
-    return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
-
-
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
     key: str,
     fields: dict[str, float],
-    k: int,
+    k: int | str,
     text: str = "query",
     limit_bytes: int = SEARCH.broadcast_bytes,
+    tokenised: DataFrame | None = None,
 ) -> DataFrame:
-    """BM25F over weighted text fields: the best k chunks per query, ties by ``key``.
+    """BM25F over weighted text fields: the best k chunks per query, ties by ``key``; ``k`` is a number or a column.
 
     Field frequencies are length-normalised and weighted before saturation;
     idf = ln(1 + (N - df + .5) / (df + .5)), df counted over all fields.
 
-    Chunks are tokenised once into a table in the shared folder and never shuffled: one pass counts document frequencies (combined
-    in the tasks), a second multiplies each batch of chunks with the term-query
-    matrix and keeps k rows per query, so frequent words cost arithmetic, not
-    rows. The matrix is bounded by ``limit_bytes``; past it the same scores come
-    from a salted term join.
+    Chunks are tokenised once into a table in the shared folder (``tokenised`` passes one that exists) and never shuffled.
+    Queries are sent to the tasks in blocks of a fixed size: one pass counts the document frequencies of their terms, a
+    second adds up, tile by tile, the postings of each query's terms in a batch and keeps k rows per query. Frequent words
+    cost arithmetic, not rows.
     """
-    terms = query_terms(queries, text)
-    size = terms.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
-    if size["q"] * size["t"] * 8 > limit_bytes:
-        pairs = bm25_pairs(terms, chunks, key, fields)
-    else:
-        pairs = _bm25_blocks(terms, chunks, key, fields, k)
-    return top_rank(pairs, ["query_id"], [F.desc("score"), F.asc(key)], k)
-
-
-def _field_tokens(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    return chunks.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
-
-
-def _term_totals(tok: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
-    """``(term, df, _l0 ..)``; the row of the empty term counts all chunks and sums the lengths."""
-    every = F.array_distinct(F.concat(F.array(F.lit("")), *[F.col(f"_t{i}") for i in range(n)]))
-    rows = explode_rows(tok, [F.size(f"_t{i}").alias(f"_l{i}") for i in range(n)], every, value="term")
-    return (
-        rows.groupBy("term")
-        .agg(F.count("*").alias("df"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(n)])
-        .join(vocabulary.unionByName(_empty_term(vocabulary)), "term", "left_semi")
-    )
+    tok = field_tokens(chunks, key, fields) if tokenised is None else tokenised
+    weights, most = list(fields.values()), _most(queries, k)
+    best = None
+    # some tens of terms of some tens of bytes each
+    for block in query_blocks(queries.select("query_id", text), 2048 + 16 * most, limit_bytes):
+        part = _bm25_block(query_terms(block, text), tok, key, weights, most)
+        best = part if best is None else best.unionByName(part)
+    return _cut(best, queries, k, key)
 
 
-def _empty_term(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([("",)], "term string")
+def field_tokens(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    return write_table(chunks.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)]), "tokens")
 
 
-def _bm25_blocks(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float], k: int) -> DataFrame:
-    weights = list(fields.values())
-    tok = write_table(_field_tokens(chunks, key, fields), "tokens")
-    # bounded by the checked matrix size
-    asked = terms.toPandas()
+def _bm25_block(terms: DataFrame, tok: DataFrame, key: str, weights: list[float], k: int) -> DataFrame:
+    asked = terms.toPandas()  # one block of queries
     ids, row = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
     col, vocabulary = pd.factorize(asked["term"])
     df, n_chunks, average = _bm25_totals(tok, list(vocabulary), len(weights))
-    matrix = np.zeros((len(vocabulary), len(ids)))
-    matrix[col, row] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))[col]
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, list(vocabulary), matrix, average))
+    idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+    order = np.argsort(row, kind="stable")
+    shared = tok.sparkSession.sparkContext.broadcast((ids, row[order], col[order], list(vocabulary), idf, average))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, matrix, average = shared.value
+        ids, row, col, words, idf, average = shared.value
         words, run = pa.array(words, pa.string()), _Running(ids, k)
-        step = max(1, 4_000_000 // max(1, len(words)))
         for batch in batches:
-            for lo in range(0, batch.num_rows if len(words) else 0, step):
-                part = batch.slice(lo, step)
-                freq = _weighted_frequency(part, words, weights, average)
-                saturated = freq * (SEARCH.k1 + 1) / (freq + SEARCH.k1)
-                run.add(part.column(0).to_numpy(), (saturated @ matrix).T)
+            for lo in range(0, batch.num_rows if len(words) else 0, BATCH):
+                part = batch.slice(lo, BATCH)
+                chunk, weight, first = _postings(part, words, weights, average)
+                weight = weight * (SEARCH.k1 + 1) / (weight + SEARCH.k1) * np.repeat(idf, np.diff(first))
+                for a, b in _tiles(len(ids), part.num_rows):
+                    p, q = np.searchsorted(row, [a, b])
+                    size = first[col[p:q] + 1] - first[col[p:q]]
+                    at = np.arange(size.sum()) + np.repeat(first[col[p:q]] - np.cumsum(size) + size, size)
+                    cell = np.repeat(row[p:q] - a, size) * part.num_rows + chunk[at]
+                    s = np.bincount(cell, weight[at], (b - a) * part.num_rows).reshape(b - a, part.num_rows)
+                    run.add(part.column(0).to_numpy(), s, a)
         yield pa.RecordBatch.from_pandas(run.rows(key, above=0.0), preserve_index=False)
 
     return tok.mapInArrow(score, f"query_id long, {key} long, score double")
 
 
+def _postings(
+    part: pa.RecordBatch, words: pa.Array, weights: list[float], average: list[float]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of the batch that hold a term, by term, with their frequencies: field counts over their length norm, weighted and summed.
+
+    The postings of term ``t`` are ``first[t]:first[t + 1]``.
+    """
+    n, cells, sums = part.num_rows, [], []
+    for i, (w, mean) in enumerate(zip(weights, average)):
+        tokens_ = part.column(i + 1)
+        length = pc.list_value_length(tokens_).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(tokens_.flatten(), value_set=words), -1).to_numpy()
+        cell = term.astype(np.int64) * n + np.repeat(np.arange(n), length)
+        cell, count = np.unique(cell[term >= 0], return_counts=True)
+        norm = 1 - SEARCH.b + SEARCH.b * length / mean if mean else np.ones(n)
+        cells.append(cell)
+        sums.append(w * count / norm[cell % n])
+    cell, at = np.unique(np.concatenate(cells), return_inverse=True)
+    weight = np.bincount(at, np.concatenate(sums), len(cell))
+    return cell % n, weight, np.searchsorted(cell, np.arange(len(words) + 1) * n)
+
+
 def _bm25_totals(tok: DataFrame, vocabulary: list[str], n: int) -> tuple[np.ndarray, int, list[float]]:
     """Document frequency per vocabulary term, number of chunks, mean field lengths.
 
@@ -269,66 +277,6 @@ def _bm25_totals(tok: DataFrame, vocabulary: list[str], n: int) -> tuple[np.ndar
     return df, chunks, [float(found.get(-2 - i, 0)) / chunks if chunks else 0.0 for i in range(n)]
 
 
-def _weighted_frequency(
-    part: pa.RecordBatch, words: pa.Array, weights: list[float], average: list[float]
-) -> np.ndarray:
-    """Chunks x vocabulary: field frequencies over their length norm, weighted and summed."""
-    n, v = part.num_rows, len(words)
-    out = np.zeros((n, v))
-    for i, (w, mean) in enumerate(zip(weights, average)):
-        tokens_ = part.column(i + 1)
-        length = pc.list_value_length(tokens_).to_numpy(zero_copy_only=False)
-        term = pc.fill_null(pc.index_in(tokens_.flatten(), value_set=words), -1).to_numpy()
-        cell = np.repeat(np.arange(n), length) * v + term
-        count = np.bincount(cell[term >= 0], minlength=n * v).reshape(n, v)
-        norm = 1 - SEARCH.b + SEARCH.b * length / mean if mean else np.ones(n)
-        out += w * count / norm[:, None]
-    return out
-
-
-def bm25_pairs(terms: DataFrame, chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(query_id, key, score) for every chunk that shares a term with the query, by joins alone.
-
-    The corpus is laid out by chunk key once; counting terms per chunk keeps that layout. Frequent
-    terms hold a large share of the postings, so the join with the query terms is salted.
-    """
-    n, weights = len(fields), list(fields.values())
-    lens = [f"_l{i}" for i in range(n)]
-    vocabulary = terms.select("term").distinct()
-    tok = write_table(_field_tokens(chunks, key, fields), "tokens")
-    seen = _term_totals(tok, vocabulary, n)
-    totals = seen.where("term = ''")
-    count = totals.select("df").scalar()
-    tagged = F.concat(*[_tag_terms(f"_t{i}", i) for i in range(n)])
-    laid = tok.repartition(F.col(key))
-    laid = explode_rows(laid, [key, *[F.size(f"_t{i}").alias(f"_l{i}") for i in range(n)]], tagged)
-    tf = (
-        laid.select(key, *lens, "_c.term", "_c.field")
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(key, "term")
-        .agg(
-            *[F.first(l).alias(l) for l in lens],
-            *[F.sum((F.col("field") == i).cast("int")).alias(f"_f{i}") for i in range(n)],
-        )
-    )
-    freq = F.lit(0.0)
-    for i, w in enumerate(weights):
-        mean = totals.select(F.col(f"_l{i}") / F.col("df")).scalar()
-        norm = 1 - SEARCH.b + SEARCH.b * F.col(f"_l{i}") / mean
-        freq = freq + F.when(F.col(f"_f{i}") > 0, w * F.col(f"_f{i}") / norm).otherwise(0.0)
-    idf = F.log(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(seen.where("term != ''").select("term", "df"), "term").select("query_id", "term", idf.alias("idf"))
-    salt = SEARCH.salts
-    post = tf.select(key, "term", freq.alias("_wf"), F.pmod(F.xxhash64(key), F.lit(salt)).cast("int").alias("_s"))
-    asked = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    part = F.col("idf") * F.col("_wf") * (SEARCH.k1 + 1) / (F.col("_wf") + SEARCH.k1)
-    return (
-        post.join(asked, ["term", "_s"])
-        .groupBy(key, "query_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    )
-
-
 # --- fusion ----------------------------------------------------------------
 
 
@@ -370,15 +318,28 @@ QNA_FIELDS = {"question_text": 4.0, "content_without_overlap": 2.0, "text": 1.0}
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, key: str, limit: int, alpha: float | str, fields: dict[str, float]
+    queries: DataFrame,
+    chunks: DataFrame,
+    key: str,
+    limit: int | str,
+    alpha: float | str,
+    fields: dict[str, float],
+    fusion: str | None = None,
 ) -> DataFrame:
     """Both searches cut at ``limit``, fused by relative score, best ``limit`` kept.
 
-    ``alpha`` is the share of the vector score: a number, or a column of ``queries``.
+    ``alpha`` is the share of the vector score. Both may be numbers or columns of ``queries``. ``fusion`` names a column
+    that says ``ranked`` for queries whose lists are fused by reciprocal ranks.
     """
     v, b, a = _both_lists(queries, chunks, key, limit, alpha, fields)
-    fused = fuse_relative(v, b, a, ["query_id"], key)
-    return top_rank(fused, ["query_id"], [F.desc("score"), F.asc(key)], limit)
+    if fusion is None:
+        return _cut(fuse_relative(v, b, a, ["query_id"], key), queries, limit, key)
+    v, b = write_table(v, "vector-hits"), write_table(b, "keyword-hits")
+    ranked = queries.where(F.col(fusion) == "ranked").select("query_id")
+    of = lambda df, how: df.join(ranked, "query_id", how)
+    fused = fuse_ranked(of(v, "left_semi"), of(b, "left_semi"), a, ["query_id"], key)
+    fused = fused.unionByName(fuse_relative(of(v, "left_anti"), of(b, "left_anti"), a, ["query_id"], key))
+    return _cut(fused, queries, limit, key)
 
 
 def _both_lists(queries, chunks, key, limit, alpha, fields):
@@ -391,22 +352,26 @@ def _both_lists(queries, chunks, key, limit, alpha, fields):
 
 
 def ranked_fusion(
-    queries: DataFrame, chunks: DataFrame, key: str, limit: int, alpha: float | str, fields: dict[str, float]
+    queries: DataFrame, chunks: DataFrame, key: str, limit: int | str, alpha: float | str, fields: dict[str, float]
 ) -> DataFrame:
     """As ``hybrid_search`` with weighted reciprocal ranks."""
     v, b, a = _both_lists(queries, chunks, key, limit, alpha, fields)
     fused = fuse_ranked(v, b, a, ["query_id"], key)
-    return top_rank(fused, ["query_id"], [F.desc("score"), F.asc(key)], limit)
+    return _cut(fused, queries, limit, key)
 
 
 def hybrid_search_both(
-    queries: DataFrame, chunks: DataFrame, key: str, limit: int, alpha: float | str
+    queries: DataFrame, chunks: DataFrame, key: str, limit: int | str, alpha: float | str, fusion: str | None = None
 ) -> DataFrame:
-    """Per collection the best ``limit``, then the best ``limit`` of both."""
-    doc = hybrid_search(queries, chunks.where("collection = 'doc'"), key, limit, alpha, DOC_FIELDS)
-    qna = hybrid_search(queries, chunks.where("collection = 'qna'"), key, limit, alpha, QNA_FIELDS)
+    """Per collection the best ``limit``, then the best ``limit`` of both; ``limit`` may be a column of ``queries``."""
+    doc = hybrid_search(queries, chunks.where("collection = 'doc'"), key, limit, alpha, DOC_FIELDS, fusion)
+    qna = hybrid_search(queries, chunks.where("collection = 'qna'"), key, limit, alpha, QNA_FIELDS, fusion)
     both = doc.withColumn("collection", F.lit("doc")).unionByName(qna.withColumn("collection", F.lit("qna")))
-    return top_rank(both.drop("ord"), ["query_id"], [F.desc("score"), F.asc("collection"), F.asc(key)], limit)
+    order = [F.desc("score"), F.asc("collection"), F.asc(key)]
+    if isinstance(limit, int):
+        return top_rank(both.drop("ord"), ["query_id"], order, limit)
+    ranked = both.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.join(queries.select("query_id", F.col(limit).alias("_k")), "query_id").where("ord <= _k").drop("_k")
 
 
 def autocut(hits: DataFrame, jumps: int, threshold: float = 0.1) -> DataFrame:

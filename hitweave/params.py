@@ -32,10 +32,8 @@ class SearchParams:
     k1: float = 1.2
     b: float = 0.75
     rrf_k: int = 60
-    # bytes of query-side data that may be broadcast; beyond it the shuffled
-    # form of the same operator runs
-    broadcast_bytes: int = 256 * 1024 * 1024
-    salts: int = 32
+    # bytes of query-side data that are broadcast at once; more queries take more passes
+    broadcast_bytes: int = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -51,7 +49,7 @@ class RankParams:
 @dataclass(frozen=True)
 class JudgeParams:
     batch_size: int = 25
-    max_batches: int = 3
+    max_batches: int | None = None
     excerpt_chars: int = 600
     keep: int = 8
     min_relevance: int = 7

@@ -131,14 +131,14 @@ def bm25_sql(name: str, chunks: str, qsrc: str, key: str, fields: dict[str, floa
 
 BENCH_K = 10
 BENCH_SQL = f"""{SENT_CHUNK_CTE},
-    keyed AS (SELECT *, doc_id * 100000 + chunk_index AS chunk_key FROM sent_chunks),
+    keyed AS (SELECT *, doc_id * 134217728 + chunk_index AS chunk_key FROM sent_chunks),
     passages AS (SELECT item_id AS query_id, text AS query FROM benchmark),
     {bm25_sql("bm", "keyed", "passages", "chunk_key", S.DOC_FIELDS, BENCH_K)}"""
 
 
 def passage_hits(spark, sd, k=BENCH_K):
     """Benchmark passages searched in the sentence chunks of all documents."""
-    chunks = sent_chunks(spark, sd).withColumn("chunk_key", F.col("doc_id") * 100000 + F.col("chunk_index"))
+    chunks = sent_chunks(spark, sd).withColumn("chunk_key", F.col("doc_id") * (1 << 27) + F.col("chunk_index"))
     q = read(spark, sd, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return S.bm25_topk(q, chunks, "chunk_key", S.DOC_FIELDS, k)
 

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from hitweave.functions.ranking import group_rank
 from hitweave.operators.search import vector_topk
+from hitweave.session import write_table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    if spark.sparkContext.master.startswith("local"):
-        # test tables are tiny: without this their shuffles collapse into one task
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,7 +38,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages_from(c: DataFrame) -> DataFrame:
     i = F.col("conv_id")
     return c.select(
-        (i * 1000 + F.col("turn")).alias("_id"),
+        (i * (1 << 31) + F.col("turn")).alias("_id"),
         F.concat(F.lit("conv-"), i).alias("message_id"),
         F.col("role").alias("message_role"),
         F.when(F.col("turn") % 3 != 0, F.lit("model-a")).alias("model"),
@@ -53,7 +51,7 @@ def messages_from(c: DataFrame) -> DataFrame:
 
 
 MESSAGES_SQL = """messages AS (
-  SELECT conv_id * 1000 + turn AS _id, 'conv-' || conv_id AS message_id, role AS message_role,
+  SELECT conv_id * 2147483648 + turn AS _id, 'conv-' || conv_id AS message_id, role AS message_role,
          CASE WHEN turn % 3 <> 0 THEN 'model-a' END AS model,
          CASE WHEN (conv_id + turn) % 7 = 0 THEN ' ' ELSE text END AS message,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60) AS timestamp,
@@ -129,6 +127,8 @@ def hits(spark: SparkSession, sf_dir: str, k: int = HITS_K, prepare=None) -> Dat
     top = vector_topk(
         queries(spark, sf_dir).select("query_id", "embedding"), c.select("vec_id", "embedding"), "vec_id", k
     )
+    # plans read the lists more than once: searched once
+    top = write_table(top, "hits")
     return top.join(c.drop("embedding"), "vec_id").select(
         "query_id", "ord", "score", "vec_id", "collection", "source_name", "chunk_index", "total_chunks",
         "prev_chunk_index", "next_chunk_index", "text", "content_without_overlap",

@@ -10,29 +10,66 @@ def vectors(n, d, seed):
     return np.random.default_rng(seed).normal(size=(n, d))
 
 
-def test_vector_topk_both_forms(spark):
+def test_vector_topk_in_any_number_of_blocks(spark):
     q, c = vectors(7, 8, 1), vectors(300, 8, 2)
     c[10] = c[20]  # a tie
     qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
     cd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "key long, embedding array<double>")
     cos = np.maximum(0, (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T).round(9)
     want = {(i, k, r + 1) for i in range(7) for r, k in enumerate(sorted(range(300), key=lambda j: (-cos[i, j], j))[:12])}
-    for limit in (1 << 20, 1):
+    for limit, tile in ((1 << 20, S.TILE), (600, S.TILE), (1 << 20, 100)):
+        S.TILE, old = tile, S.TILE
         got = S.vector_topk(qd, cd, "key", 12, limit_bytes=limit).collect()
+        S.TILE = old
         assert {(r["query_id"], r["key"], r["ord"]) for r in got} == want
+    some = qd.withColumn("k", F.col("query_id") % 3 + 1)
+    got = S.vector_topk(some, cd, "key", "k").collect()
+    assert {(r["query_id"], r["key"], r["ord"]) for r in got} == {w for w in want if w[2] <= w[0] % 3 + 1}
 
 
-def test_bm25_forms_agree(spark):
+def test_vectors_that_are_missing_or_of_another_length(spark):
+    import pytest
+
+    cd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "key long, embedding array<double>")
+    qd = spark.createDataFrame([(7, None), (8, [1.0, 1.0])], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.key) for r in S.vector_topk(qd, cd, "key", 5).collect()] == [(8, 1)]
+    long = spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "key long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors of 2 numbers expected"):
+        S.vector_topk(qd, long, "key", 5).collect()
+
+
+def X(text):
+    return text.lower().replace("é", "e").split()
+
+
+def test_bm25_in_any_number_of_blocks(spark):
     words = "alpha beta gamma delta épsilon the the the of of".split()
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(200)]
     c = spark.createDataFrame(rows, "key long, text string").withColumn("content_without_overlap", F.substring("text", 5, 1000))
     q = spark.createDataFrame([(1, "Alpha the"), (2, "epsilon of unknown"), (3, "zzz"), (4, "")], "query_id long, query string")
     a = S.bm25_topk(q, c, "key", S.DOC_FIELDS, 15)
-    b = S.bm25_topk(q, c, "key", S.DOC_FIELDS, 15, limit_bytes=1)
+    b = S.bm25_topk(q, c, "key", S.DOC_FIELDS, 15, limit_bytes=2500)
     pick = lambda df: sorted((r["query_id"], r["ord"], r["key"], round(r["score"], 6)) for r in df.collect())
     assert pick(a) == pick(b)
     assert {r[0] for r in pick(a)} == {1, 2}
+    # by the definition
+    split = {k: [X(t[4:]), X(t)] for k, t in rows}
+    weights, n = list(S.DOC_FIELDS.values()), len(rows)
+    mean = [sum(len(f[i]) for f in split.values()) / n for i in (0, 1)]
+    want = []
+    for i, text in ((1, "alpha the"), (2, "epsilon of unknown")):
+        scored = []
+        for k, f in split.items():
+            total = 0.0
+            for t in set(text.split()):
+                df = sum(t in g[0] + g[1] for g in split.values())
+                w = sum(weights[j] * f[j].count(t) / (1 - 0.75 + 0.75 * len(f[j]) / mean[j]) for j in (0, 1))
+                total += np.log(1 + (n - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2)
+            if total > 0:
+                scored.append((-round(total, 9), k))
+        want += [(i, r + 1, k, round(-s, 6)) for r, (s, k) in enumerate(sorted(scored)[:15])]
+    assert pick(a) == sorted(want)
 
 
 def ranked(spark, scores, texts=None):
