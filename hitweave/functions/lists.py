@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hitweave.functions.text import text_or_empty
+from hitweave.functions.text import WS, text_or_empty
 
 # fixed values: what a list line looks like
-BULLET = r"^[\s]*[-•*◦▪►]\s+.+"
-NUMBERED = r"^[\s]*(?:\d+|[a-z]|[ivxlcdm]+)[.)\-:]\s+.+"
+BULLET = rf"^{WS}*[-•*◦▪►]{WS}+.+"
+NUMBERED = rf"^{WS}*(?:\d+|[a-z]|[ivxlcdm]+)[.)\-:]{WS}+.+"
 CODE = r"\bEC\d{3,4}(?:\.\d{1,3})?\b"
-CODE_LINE = r"^[\s]*EC\d{3,4}(?:\.\d{1,3})?\b"
+CODE_LINE = rf"^{WS}*EC\d{{3,4}}(?:\.\d{{1,3}})?\b"
 LIST_LINE = f"({BULLET})|({NUMBERED})|({CODE_LINE})"
 LIST_LOOKBACK = 220
 # fixed values: an integer of 1 to 3 digits, not next to % . $

@@ -14,6 +14,8 @@ WS = r"[ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFE
 WS_NOT_NEWLINE = WS.replace(r"\n", "")
 # private-use stand-ins for a decimal point and a digit-group comma
 DOT, COMMA = "\ue010", "\ue011"
+# a private-use mark between words that are normalised together
+BETWEEN = "\ue012"
 # ASCII word boundaries (Java's \b also counts accented letters)
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -73,8 +75,8 @@ def norm_strict(c: Column | str) -> Column:
     return trim_ws(F.regexp_replace(c, r"[\p{Z}\s\x0B]+", " "))
 
 
-def norm_loose_decimal(c: Column | str) -> Column:
-    """Accent-insensitive, but decimals and digit groups keep their separators.
+def norm_loose_decimal(c: Column | str, keep: str = "") -> Column:
+    """Accent-insensitive, but decimals and digit groups keep their separators, and so do the characters ``keep``.
 
     Digit-digit separators are turned into letters' neighbours that survive the
     punctuation strip (private-use characters), and turned back at the end.
@@ -82,7 +84,7 @@ def norm_loose_decimal(c: Column | str) -> Column:
     c = join_hyphenated(fold_accents(text_or_empty(c)))
     c = F.regexp_replace(c, r"(\d)\.(\d)", f"$1{DOT}$2")
     c = F.lower(F.regexp_replace(c, r"(\d),(\d)", f"$1{COMMA}$2"))
-    c = F.btrim(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}§{DOT}{COMMA}]+", " "))
+    c = F.btrim(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}§{DOT}{COMMA}{keep}]+", " "))
     return F.translate(c, DOT + COMMA, ".,")
 
 

@@ -8,7 +8,6 @@ rare branch tests the raw column, so no expression is evaluated twice.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -108,8 +107,3 @@ def fold_accents(c: Column) -> Column:
     src, dst, many = _mapping("NFKD", True)
     rare = F.when(c.rlike(_RARE), _expand(c, many)).otherwise(c)
     return F.regexp_replace(F.translate(rare, src, dst), r"[\p{M}\^`·]+", "")
-
-
-def fold_accents_py(s: str) -> str:
-    """The same rule for plain strings, for constants and tests."""
-    return re.sub(r"[\^`·]+", "", _drop_marks(unicodedata.normalize("NFKD", s)))

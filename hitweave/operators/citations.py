@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.functions.ranking import explode_rows
-from hitweave.functions.text import WS, classify_response, let, norm_loose_decimal, norm_strict, text_or_empty, trim_ws, word_count, words
+from hitweave.functions.text import (
+    BETWEEN,
+    WS,
+    classify_response,
+    let,
+    norm_loose_decimal,
+    norm_strict,
+    text_or_empty,
+    trim_ws,
+    word_count,
+    words,
+)
 from hitweave.operators.context import PAGE
 from hitweave.params import CITE
 
@@ -136,30 +147,26 @@ def best_span(hint: Column | str, text: Column | str) -> Column:
 
     def search(w: Column, hints: Column) -> Column:
         n = F.size(w)
-        marks = F.transform(w, lambda x: F.array_contains(hints, norm_loose_decimal(x)).cast("int"))
-
-        def sums(prefix: Column) -> Column:
-            # prefix[i] = matching words before word i
-            windows = F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), n - lo),
-                    lambda i: F.transform(
-                        F.sequence(F.lit(lo), F.least(F.lit(hi), n - i)),
-                        lambda size: F.struct(
-                            (F.get(prefix, i + size) - F.get(prefix, i)).alias("s"), (-i).alias("i"), (-size).alias("l")
-                        ),
-                    ),
-                )
-            )
+        # all words are normalised in one go
+        normed = F.split(norm_loose_decimal(F.array_join(w, BETWEEN), BETWEEN), BETWEEN, -1)
+        marks = F.transform(normed, lambda x: F.array_contains(hints, F.btrim(x)).cast("int"))
+
+        def at(m: Column, i: Column) -> Column:
+            """Windows from word i on: matching words, start and size, so that the largest is the best."""
+
+            def sized(near: Column) -> Column:
+                sizes = F.sequence(F.lit(lo), F.least(F.lit(hi), n - i))
+                total = lambda k: F.aggregate(F.slice(near, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+                return F.transform(sizes, lambda k: F.struct(total(k).alias("s"), (-i).alias("i"), (-k).alias("l")))
+
+            return let(F.slice(m, i + 1, F.lit(hi)), lambda near: F.array_max(sized(near)))
+
+        def best(m: Column) -> Column:
             # largest sum, then earliest start, then shortest
-            return let(F.array_max(windows), lambda b: F.array_join(F.slice(w, 1 - b["i"], -b["l"]), " "))
-
-        prefix = F.aggregate(
-            marks,
-            F.array(F.lit(0)),
-            lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m)),
-        )
-        return F.when((n >= lo) & (F.size(hints) > 0), let(prefix, sums))
+            top = F.array_max(F.transform(F.sequence(F.lit(0), n - lo), lambda i: at(m, i)))
+            return let(top, lambda b: F.array_join(F.slice(w, 1 - b["i"], -b["l"]), " "))
+
+        return F.when((n >= lo) & (F.size(hints) > 0), let(marks, best))
 
     return let(words(text_or_empty(text)), lambda w: let(wanted, lambda h: search(w, h)))
 
