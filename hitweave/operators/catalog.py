@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.functions.ranking import top_rank
-from hitweave.functions.text import first_text, text_or_empty, trim_ws
+from hitweave.functions.text import text_or_empty, trim_ws
 
 # fixed values: readers, tried in this order, with their types and extensions
 READERS = (
@@ -62,9 +62,11 @@ def upsert_by_source(old: DataFrame, new: DataFrame, key: str = "source_name") -
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def scan_chunks_both(doc: DataFrame, qna: DataFrame, limit: int = 10000) -> DataFrame:
-    """At most ``limit`` objects of each collection, in (source, chunk) order."""
+def scan_chunks_both(doc: DataFrame, qna: DataFrame, limit: int | None = None) -> DataFrame:
+    """All objects of both collections, or the first ``limit`` of each in (source, chunk) order."""
     by = ["source_name", "chunk_index"]
+    if limit is None:
+        return doc.unionByName(qna, allowMissingColumns=True)
     return doc.orderBy(*by).limit(limit).unionByName(qna.orderBy(*by).limit(limit), allowMissingColumns=True)
 
 
@@ -129,7 +131,3 @@ def record_search(records: DataFrame, needle: str, page: int, order: str, per_pa
         hit = records.where(F.contains(F.lower(text_or_empty("text")), F.lit(needle.lower())))
     total = hit.agg(F.count("*").alias("n")).scalar()
     return hit.orderBy(order).offset((page - 1) * per_page).limit(per_page).withColumn("total_matches", total)
-
-
-def default_source(c: Column | str) -> Column:
-    return first_text(c, default="Manual")

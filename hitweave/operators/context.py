@@ -69,8 +69,10 @@ def build_context(rows: DataFrame, params=CONTEXT) -> DataFrame:
     """Per query: context text, counts, and the sections taken (``packed``).
 
     At most 8 chunks, 3 per source while enough others remain, 1000 characters per chunk and 5000 in all.
+    The page key is the chunk's ``page_number`` where there is one, else its chunk number.
     """
-    page = F.concat(F.lit(PAGE), F.coalesce("chunk_index", F.lit(0)).cast("string"))
+    numbers = ["page_number", "chunk_index"] if "page_number" in rows.columns else ["chunk_index"]
+    page = F.concat(F.lit(PAGE), F.coalesce(*numbers, F.lit(0)).cast("string"))
     item = F.struct(
         F.col("ord").cast("int").alias("ord"),
         F.coalesce(F.nullif("source_name", F.lit("")), F.lit("Documento")).alias("source_name"),

@@ -12,11 +12,12 @@ from hitweave.operators.shaping import by_query, score_or_zero
 from hitweave.params import JUDGE
 
 
-def judge_batches(hits: DataFrame, query: str = "query") -> DataFrame:
-    """Number the hits from 0, cut them into prompts and attach the excerpt to show."""
+def judge_batches(hits: DataFrame, query: str = "query", max_batches: int | None = JUDGE.max_batches) -> DataFrame:
+    """Number the hits from 0, cut them into prompts (all, or ``max_batches`` per query) and attach the excerpt to show."""
     out = hits.withColumn("abs_id", F.row_number().over(by_query().orderBy("ord")) - 1)
     out = out.withColumn("batch_no", F.floor(F.col("abs_id") / JUDGE.batch_size).cast("int"))
-    out = out.where(F.col("batch_no") < JUDGE.max_batches)
+    if max_batches is not None:
+        out = out.where(F.col("batch_no") < max_batches)
     return out.withColumn("excerpt", excerpt_window("text", query, JUDGE.excerpt_chars))
 
 

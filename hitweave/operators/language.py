@@ -25,7 +25,7 @@ def short_code(code: Column) -> Column:
 
 
 def _trigrams(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.substring(text, 1, SAMPLE), r"[^\p{L}]+", " ")), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit(" "))
 
     def cut(s: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2))
@@ -35,10 +35,11 @@ def _trigrams(text: Column) -> Column:
 
 
 def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = 300) -> DataFrame:
-    """``(lang, tri, weight)``: the most frequent trigrams of each language with their log share.
+    """``(lang, tri, weight)``: the most frequent trigrams of each language with their log share, over whole texts.
 
     Partial counts leave the tasks as (language, trigram) pairs, of which
-    there are few; the result has at most ``size`` rows per language.
+    there are few; the result has at most ``size`` rows per language. The method compares a language's head of the
+    ranking, where languages differ; 300 is its published length.
     """
     counts = (
         explode_rows(labelled, [lang], _trigrams(text_or_empty(text)), value="tri")
@@ -55,23 +56,25 @@ def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang
 
 
 def tag_language(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Adds ``language`` and ``confidence`` (.8 for a sample of more than 100 characters, else .5).
+    """All columns but the text, with ``language`` and ``confidence`` (.8 for a sample of more than 100 characters, else .5).
 
-    The profile table is bounded (300 rows per language), so it is broadcast;
-    scores are summed inside the task that exploded the document.
+    A text is judged by its first ``SAMPLE`` characters. Profiles have 300 rows per language and are small enough for
+    Spark to broadcast them; scores are summed inside the task that exploded the document, and texts are not shuffled.
     """
-    grams = explode_rows(docs, [key], _trigrams(text_or_empty(text)), value="tri")
+    sample = F.substring(text_or_empty(text), 1, SAMPLE)
+    grams = explode_rows(docs, [key], _trigrams(sample), value="tri")
     scores = (
-        grams.join(F.broadcast(profiles), "tri")
+        grams.join(profiles, "tri")
         .groupBy(key, "lang")
         .agg(F.round(F.sum("weight"), 6).alias("_s"))
         .groupBy(key)
         .agg(F.max_by("lang", F.struct(F.col("_s"), F.col("lang"))).alias("_lang"))
     )
-    sure = F.when(F.length(F.substring(text_or_empty(text), 1, SAMPLE)) > 100, 0.8).otherwise(0.5)
+    sure = F.when(F.length(sample) > 100, 0.8).otherwise(0.5)
     return (
-        docs.join(scores, key, "left")
+        docs.withColumn("confidence", sure)
+        .drop(text)
+        .join(scores, key, "left")
         .withColumn("language", short_code(F.col("_lang")))
-        .withColumn("confidence", sure)
         .drop("_lang")
     )

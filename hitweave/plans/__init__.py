@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "text", "chunking", "search", "shaping", "judge", "context", "citations", "conversations", "catalog",
-    "evaluation", "live",
+    "evaluation", "live", "pipeline",
 )
 
 

@@ -151,12 +151,21 @@ def _search(spark, sd):
     return G.record_search(read(spark, sd, "documents").select("doc_id", "text"), "The And", 2, "doc_id")
 
 
-@query("scan_text_files")
+@query("scan_text_files", "SELECT doc_id, 'txt' AS source_type, strlen(text) + 1 AS source_size, text || E'\n' AS text FROM documents")
 def _scan(spark, sd):
+    """Every document written as a file of its own (the writer ends it with a line break) and read back."""
     path = stage_documents(read(spark, sd, "documents").select("doc_id", "text"))
-    return scan_documents(spark, path)
+    d = scan_documents(spark, path)
+    doc_id = F.regexp_extract("source_name", r"^doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    return d.select(doc_id, "source_type", "source_size", "text")
 
 
-@query("scan_test_cases")
+@query(
+    "scan_test_cases",
+    """SELECT 'CASE-' || item_id AS id, text AS query, 'src-' || (item_id % 10) AS source_matches, '' AS keywords, item_id % 12 = 0 AS should_refuse,
+      'passage' AS tags FROM benchmark""",
+)
 def _cases(spark, sd):
-    return scan_test_cases(spark, stage_cases(read(spark, sd, "benchmark")))
+    c = scan_test_cases(spark, stage_cases(read(spark, sd, "benchmark")))
+    lists = {n: F.array_join(n, ",") for n in ("source_matches", "keywords", "tags")}
+    return c.withColumns(lists)

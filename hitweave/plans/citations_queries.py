@@ -24,12 +24,12 @@ ANSWER = f"""CASE (conv_id + turn) % 6 WHEN 0 THEN text
 
 def answers(spark, sd):
     c = read(spark, sd, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.expr(ANSWER).alias("answer"))
+    return c.select((F.col("conv_id") * (1 << 31) + F.col("turn")).alias("query_id"), F.expr(ANSWER).alias("answer"))
 
 
 LINE = r'(?i)^-+\s*P[aá]gina\s+(\d+)\s*[—–-]\s*"([^"]+)"\s*$'
 TAIL_CTE = rf"""
-    a AS (SELECT conv_id * 1000 + turn AS query_id, {ANSWER} AS answer FROM conversations),
+    a AS (SELECT conv_id * 2147483648 + turn AS query_id, {ANSWER} AS answer FROM conversations),
     h AS (SELECT *, len(regexp_extract_all(answer, '(?is).*?(?:(?:^|\n)Fuente:\s*)')) > 0 AS cited,
             list_sum(list_transform(regexp_extract_all(answer, '(?is).*?(?:(?:^|\n)Fuente:\s*)'), lambda x: length(x)))::INT AS body_at,
             length(list_last(regexp_extract_all(answer, '(?i)(?:^|\n)Fuente:\s*')))::INT AS head_len FROM a),
@@ -117,7 +117,7 @@ def _validate(spark, sd):
     rf"""WITH {TAIL_CTE},
     c AS (SELECT query_id, count(*) AS citations, count(*) FILTER (length(line) % 3 <> 0) AS valid_citations FROM (
             SELECT query_id, trim(unnest(regexp_split_to_array(body, '\r?\n')), {WS_TRIM}) AS line FROM s WHERE cited)
-          WHERE regexp_matches(line, '{LINE}') AND query_id % 4 <> 0 GROUP BY query_id),
+          WHERE regexp_matches(line, '{LINE}') GROUP BY query_id),
     n AS (SELECT query_id, {nai("answer")} AS a FROM a),
     t AS (SELECT query_id, CASE WHEN regexp_matches(a, '\b{X.ABSENT_PHRASE}\b') AND len(string_split(a, ' ')) <= 15 THEN 'ABSENT'
             WHEN regexp_matches(a, '\b{X.ABSENT_PHRASE}\b') OR regexp_matches(a, '\b({X.PARTIAL_PHRASES})\b') THEN 'PARTIAL' ELSE 'FULL' END AS response_type FROM n)
@@ -127,7 +127,7 @@ def _validate(spark, sd):
 )
 def _repair(spark, sd):
     a = answers(spark, sd)
-    parsed = C.parse_citations(a, ["query_id"]).where(F.col("query_id") % 4 != 0)
+    parsed = C.parse_citations(a, ["query_id"])
     body = F.regexp_replace(C._tail(F.col("answer")), r"(?i)^\n?Fuente:\s*", "")
     lines = a.select("query_id", F.posexplode(F.split(body, r"\r?\n", -1)).alias("pos", "l"))
     parsed = parsed.join(lines, ["query_id", "pos"]).withColumn("valid", F.length(X.trim_ws(F.col("l"))) % 3 != 0)

@@ -67,7 +67,7 @@ def _thread(spark, sd):
 
 @query(
     "default_reply_fill",
-    f"""WITH {MESSAGES_SQL}, m AS (SELECT * FROM messages WHERE NOT (message_role = 'assistant' AND turn < 6)),
+    f"""WITH {MESSAGES_SQL}, m AS (SELECT * REPLACE (CASE WHEN message_role = 'assistant' AND turn < 6 THEN ' ' ELSE message END AS message) FROM messages),
     replies AS (SELECT DISTINCT 'conv-' || conv_id AS message_id, 'Reply ' || conv_id AS reply FROM conversations),
     s AS (SELECT message_id, count(*) FILTER (message_role = 'assistant' AND trim(message) <> '') AS n,
             min(timestamp) FILTER (message_role = 'user') AS t, arg_min(user_id, timestamp) FILTER (message_role = 'user') AS u FROM m GROUP BY message_id)
@@ -75,7 +75,8 @@ def _thread(spark, sd):
     SELECT message_id, 'assistant', reply, t + INTERVAL 1 SECOND, u FROM s JOIN replies USING (message_id) WHERE n = 0 AND t IS NOT NULL""",
 )
 def _default(spark, sd):
-    m = messages(spark, sd).where("NOT (message_role = 'assistant' AND turn < 6)")
+    blank = F.when(F.expr("message_role = 'assistant' AND turn < 6"), " ").otherwise(F.col("message"))
+    m = messages(spark, sd).withColumn("message", blank)
     replies = read(spark, sd, "conversations").select(
         F.concat(F.lit("conv-"), "conv_id").alias("message_id"), F.concat(F.lit("Reply "), "conv_id").alias("reply")
     )
@@ -190,14 +191,13 @@ def _lead(spark, sd):
     "update_leads",
     f"""WITH {LEADS_SQL},
     p AS (SELECT c_custkey AS _id, CASE c_custkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'gone' WHEN 2 THEN 'new' END AS st,
-            CASE WHEN c_custkey % 3 = 0 THEN 'New ' || c_name ELSE '' END AS nm, NULL AS ph FROM customer WHERE c_custkey % 2 = 0 OR c_nationkey > 12)
+            CASE WHEN c_custkey % 3 = 0 THEN 'New ' || c_name ELSE '' END AS nm, NULL AS ph FROM customer)
     SELECT l._id, coalesce(CASE WHEN st IN ('active', 'inactive', 'new') THEN st END, status) AS status,
       coalesce(nullif(nm, ''), whatsapp_name) AS whatsapp_name, phone_number FROM leads l LEFT JOIN p USING (_id)""",
 )
 def _update(spark, sd):
     k = F.col("c_custkey")
-    p = read(spark, sd, "customer").where("c_custkey % 2 = 0 OR c_nationkey > 12")
-    p = p.select(
+    p = read(spark, sd, "customer").select(
         k.alias("_id"),
         F.when(k % 4 == 0, "active").when(k % 4 == 1, "gone").when(k % 4 == 2, "new").alias("status"),
         F.when(k % 3 == 0, F.concat(F.lit("New "), "c_name")).otherwise("").alias("whatsapp_name"),

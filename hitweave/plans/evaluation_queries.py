@@ -8,12 +8,15 @@ from hitweave.operators import evaluation as V
 from hitweave.plans.registry import query
 from hitweave.plans.tables import HITS_SQL, hits, queries, read
 
-# the source of the query's own vector is expected; every twelfth case must be refused
+# the source after that of the query's own vector is expected; every twelfth case must be refused, and some cases,
+# with negative ids, have no results
 CASES_SQL = f"""{HITS_SQL},
-    cases AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 12 = 0 THEN [] ELSE ['SRC-' || label, 'other'] END AS source_matches,
-                     vec_id % 12 = 0 AS should_refuse FROM embeddings),
-    ranked15 AS (SELECT query_id, ord - 1 AS ord, source_name, CASE WHEN query_id % 24 = 0 THEN score * 0.3 ELSE score END AS score, text FROM hits
-                 WHERE ord BETWEEN 2 AND 16 AND query_id % 10 <> 3),
+    cases AS (SELECT query_id, CASE WHEN vec_id % 12 = 0 THEN [] ELSE ['SRC-' || (label + 1) % 10, 'other'] END AS source_matches,
+                     vec_id % 12 = 0 AS should_refuse
+              FROM (SELECT vec_id AS query_id, vec_id, label FROM embeddings UNION ALL
+                    SELECT -1 - vec_id, vec_id, label FROM embeddings WHERE vec_id % 10 = 3 OR vec_id % 60 = 0)),
+    ranked15 AS (SELECT query_id, ord, source_name, CASE WHEN query_id % 24 = 0 THEN score * 0.3 ELSE score END AS score, text FROM hits
+                 WHERE ord <= 15),
     per AS (SELECT c.query_id, any_value(should_refuse) AS should_refuse, any_value(len(source_matches)) AS n, count(source_name) AS total_chunks,
               min(ord) FILTER (len(list_filter(source_matches, lambda m: contains(lower(source_name), lower(m)))) > 0) AS f, arg_min(score, ord) AS top
             FROM cases c LEFT JOIN ranked15 USING (query_id) GROUP BY c.query_id),
@@ -27,17 +30,19 @@ CASES_SQL = f"""{HITS_SQL},
 
 def cases(spark, sd):
     i = F.col("vec_id")
-    e = read(spark, sd, "embeddings")
+    e = read(spark, sd, "embeddings").withColumn("query_id", i)
+    e = e.unionByName(e.where((i % 10 == 3) | (i % 60 == 0)).withColumn("query_id", -1 - i))
     none = F.expr("cast(array() as array<string>)")
+    expected = F.array(F.concat(F.lit("SRC-"), (F.col("label") + 1) % 10), F.lit("other"))
     return e.select(
-        i.alias("query_id"),
-        F.when(i % 12 == 0, none).otherwise(F.array(F.concat(F.lit("SRC-"), "label"), F.lit("other"))).alias("source_matches"),
+        "query_id",
+        F.when(i % 12 == 0, none).otherwise(expected).alias("source_matches"),
         (i % 12 == 0).alias("should_refuse"),
     )
 
 
 def ranked(spark, sd):
-    h = hits(spark, sd).where("ord BETWEEN 2 AND 16 AND query_id % 10 <> 3").withColumn("ord", F.col("ord") - 1)
+    h = hits(spark, sd).where("ord <= 15")
     return h.withColumn("score", F.when(F.col("query_id") % 24 == 0, F.col("score") * 0.3).otherwise(F.col("score")))
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hitweave.functions import lists as L
 from hitweave.functions import text as X
 from hitweave.operators import judge as J
 from hitweave.operators.shaping import with_features
 from hitweave.plans.registry import query
-from hitweave.plans.sqltext import nai
+from hitweave.plans.sqltext import BULLET, CODE, NUMBERED, nai
 from hitweave.plans.tables import HITS_SQL, hits, queries, read
 
 # decisions follow from the ids; every label, reason and relevance occurs
@@ -62,7 +61,7 @@ def gated(spark, sd):
           FROM hits h JOIN t USING (query_id) JOIN n USING (vec_id))
     SELECT query_id, vec_id, ord - 1 AS abs_id, (ord - 1) // 25 AS batch_no, CASE WHEN length(text) <= 600 THEN text
       ELSE substring(text, coalesce(greatest(0, floor((f - 1) * (length(text) / greatest(1, length(norm))::DOUBLE)) - 120), 0)::INT + 1, 600)
-      END AS excerpt FROM p WHERE (ord - 1) // 25 < 3""",
+      END AS excerpt FROM p""",
 )
 def _batches(spark, sd):
     h = hits(spark, sd).join(queries(spark, sd).select("query_id", "query"), "query_id")
@@ -176,8 +175,8 @@ STRONG_SQL = f"""{JUDGED_SQL},
             regexp_matches(text, '(?i){"|".join(X.DIRECT_ANSWER)}')::INT AS boost,
             EXISTS (SELECT 1 FROM ent e WHERE e.query_id = g.query_id AND e.source_name = g.source_name
                     AND abs(e.chunk_index - g.chunk_index) BETWEEN 1 AND 2) AS near,
-            greatest(len(regexp_extract_all(text, '(?m){L.BULLET}')), len(regexp_extract_all(text, '(?mi){L.NUMBERED}')),
-                     len(list_distinct(regexp_extract_all(text, '{L.CODE}')))) >= 2 AS listed
+            greatest(len(regexp_extract_all(text, '(?m){BULLET}')), len(regexp_extract_all(text, '(?mi){NUMBERED}')),
+                     len(list_distinct(regexp_extract_all(text, '{CODE}')))) >= 2 AS listed
           FROM g WINDOW w AS (PARTITION BY query_id)),
     t AS (SELECT *, CASE WHEN NOT has_ent THEN 0 WHEN label = 'ENTAILMENT' THEN 0 WHEN near AND listed THEN 1
                          WHEN score >= 0.8 THEN 2 WHEN best <= 3 THEN 3 END AS tier FROM f),

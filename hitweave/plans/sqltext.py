@@ -38,3 +38,10 @@ def clean(x: str) -> str:
     q = rf"regexp_replace({q}, '(?i)\b({ARTICLES})\b', ' ', 'g')"
     q = rf"trim(regexp_replace({q}, '\s+', ' ', 'g'))"
     return f"CASE WHEN length({q}) < 3 THEN {x} ELSE {q} END"
+
+
+# the list rules again, in the reference engine's spelling
+BULLET = r"^[\s]*[-•*◦▪►]\s+.+"
+NUMBERED = r"^[\s]*(?:\d+|[a-z]|[ivxlcdm]+)[.)\-:]\s+.+"
+CODE = r"\bEC\d{3,4}(?:\.\d{1,3})?\b"
+LIST_LINE = rf"({BULLET})|({NUMBERED})|(^[\s]*EC\d{{3,4}}(?:\.\d{{1,3}})?\b)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,28 +20,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.master(master).config("spark.ui.enabled", "false")
     for k, v in CONF.items():
         b = b.config(k, v)
+    if master and master.startswith("local"):
+        # small tables: without this their shuffles collapse into one task
+        b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
 
 
-_local_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
+    """This application's folder below the one that the session names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Where that is unset, it is set to a folder of the warehouse, which all executors reach as well.
     """
-    global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="hitweave-")
-    return _local_dir
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ def con():
 def test_query(spark, con, key):
     df = R.QUERIES[key](spark, SF)
     if key in R.ORACLES:
-        diff = compare(df, con, R.ORACLES[key])
-        assert diff in (None, "no rows"), diff
+        assert compare(df, con, R.ORACLES[key]) is None
     else:
-        assert df.columns and len(df.collect()) >= 0
+        assert df.columns and df.collect(), "no rows"
