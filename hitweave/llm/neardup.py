@@ -7,11 +7,15 @@ frequencies are counted over all texts in ``DF_BINS`` hash bins (words in one bi
 ``SAMPLES`` consistent samples of each set agree with a chance equal to the weighted Jaccard similarity of two sets.
 Bands of ``ROWS`` samples are bucket keys. Links are searched in two rounds, without making the pairs of a bucket:
 
-1. the members of each bucket are compared with its most central member, the one that agrees best with the commonest
-   value of each sample; copies of one original meet there, even where they differ from each other;
+1. the members of each bucket are compared with its most central member; copies of one original meet there, even where
+   they differ from each other;
 2. members of one bucket that are still in different classes are compared with the ``NEAREST`` others of other classes
    that agree best, in blocks of ``BLOCK`` members at most.
 
+Centrality and agreement look at a sketch beside the samples: the least run of each of ``BINS`` ranges of hashes, which
+costs nothing as runs are in the order of their hashes. The most central member is the one that agrees best with the
+commonest value of each bin; two texts that few samples tell apart differ there.
+
 Every link is verified by the exact weighted Jaccard similarity of the whole texts. Classes are the connected
 components of links, and of equal texts, which are one node from the start.
 
@@ -42,7 +46,8 @@ SAMPLES = ROWS * BANDS
 DF_BINS = 1 << 18
 DF_BLOCK = 4096
 NEAREST = 4
-LEAST_AGREE = 13
+BINS = 64
+LEAST_AGREE = 54
 BLOCK = 512
 _CHUNK = 1 << 17
 
@@ -163,6 +168,16 @@ def _sample(run: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.ndarra
     return out
 
 
+def sketches(s: Sets) -> np.ndarray:
+    """16 bits of the least run in each range of hashes: texts x ``BINS``; 0 for ranges without a run."""
+    out = np.zeros((len(s.first) - 1, BINS), np.uint16)
+    owner = np.repeat(np.arange(len(out)), np.diff(s.first))
+    place = owner * BINS + (s.run >> _U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    at = np.flatnonzero(np.diff(place, prepend=-1))
+    out.ravel()[place[at]] = (s.run[at] & _U64(0xFFFF)).astype(np.uint16)
+    return out
+
+
 def similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of texts row by row."""
     x, y = weighted_sets(a, idf), weighted_sets(b, idf)
@@ -181,7 +196,7 @@ def _digest(text: str = "text"):
 
 
 def sign(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, h, sig`` of every text; ``h`` stands for equal texts, ``sig`` is null without words."""
+    """``key, h, sig, sketch`` of every text; ``h`` stands for equal texts, ``sig`` is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -190,10 +205,11 @@ def sign(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "tex
             sig = pa.FixedSizeListArray.from_arrays(values, SAMPLES).cast(pa.list_(pa.int32())).to_pylist()
             none = np.diff(s.first) == 0
             sig = pa.array([None if m else v for m, v in zip(none, sig, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig], [key, "h", "sig"])
+            sketch = pa.array([row.tobytes() for row in sketches(s)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig, sketch], [key, "h", "sig", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, _digest(text), text).mapInArrow(run, f"`{key}` {kind}, h binary, sig array<int>")
+    return docs.select(key, _digest(text), text).mapInArrow(run, f"`{key}` {kind}, h binary, sig array<int>, sketch binary")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -205,16 +221,24 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def central_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's most central member, as ``a, b`` with ``a < b``."""
-    with_sig = members.join(nodes, "h").select("band", "key", "h", "sig")
-    values = with_sig.select("band", "key", F.posexplode("sig").alias("k", "v")).groupBy("band", "key", "k", "v").count()
+    """Each member of a bucket with the bucket's most central member, as ``a, b`` with ``a < b``.
+
+    In a bucket of two either is.
+    """
+    two = members.where("members = 2").groupBy("band", "key").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("a", "b")
+    more = members.where("members > 2").select("band", "key", "h")
+    with_sketch = more.join(nodes.select("h", "sketch"), "h")
+    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(F.col("sketch"), i * 2 + 1, F.lit(2)))
+    values = with_sketch.select("band", "key", F.posexplode(bins).alias("k", "v")).groupBy("band", "key", "k", "v").count()
     common = values.groupBy("band", "key", "k").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
-    # SAMPLES values for each bucket
-    common = common.groupBy("band", "key").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("c"))
-    agree = F.aggregate(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), F.lit(0), lambda n, k: n + (F.col("sig")[k] == F.col("c")[k]).cast("int"))
-    best = with_sig.join(common, ["band", "key"]).groupBy("band", "key").agg(F.max_by("h", F.struct(agree, "h")).alias("centre"))
-    pairs = members.join(best, ["band", "key"]).where("h <> centre")
-    return pairs.select(F.least("h", "centre").alias("a"), F.greatest("h", "centre").alias("b")).distinct()
+    # BINS values for each bucket
+    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
+    common = common.groupBy("band", "key").agg(values.alias("c"))
+    agree = F.aggregate(F.zip_with(bins, "c", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    best = with_sketch.join(common, ["band", "key"]).groupBy("band", "key").agg(F.max_by("h", F.struct(agree, "h")).alias("centre"))
+    star = more.join(best, ["band", "key"]).where("h <> centre")
+    star = star.select(F.least("h", "centre").alias("a"), F.greatest("h", "centre").alias("b"))
+    return star.unionByName(two).distinct()
 
 
 def nearest_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -222,17 +246,19 @@ def nearest_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> D
     m = members.join(classes, "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = m.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
     block = F.pmod(F.xxhash64("h", "band"), F.ceil(F.col("members") / BLOCK)).alias("block")
-    m = m.join(mixed, ["band", "key"], "left_semi").join(nodes, "h").select("band", "key", block, "h", "root", "sig")
+    m = m.join(mixed, ["band", "key"], "left_semi").join(nodes, "h").select("band", "key", block, "h", "root", "sig", "sketch")
 
     def pairs(t: pa.Table) -> pa.Table:
         h, root = t.column("h").to_pylist(), t.column("root").to_pylist()
         n = len(h)
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(n, SAMPLES)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(n, BINS)
+        seen = np.hstack([sig, sketch.astype(np.int32)])
         number = {r: i for i, r in enumerate(dict.fromkeys(root))}
         of = np.array([number[r] for r in root])
         agree = np.zeros((n, n), np.int16)
-        for k in range(SAMPLES):
-            agree += sig[:, k][:, None] == sig[:, k][None, :]
+        for column in seen.T:
+            agree += column[:, None] == column[None, :]
         agree[of[:, None] == of[None, :]] = 0
         found = set()
         near = np.argsort(-agree, axis=1, kind="stable")[:, :NEAREST]
@@ -283,7 +309,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame,
     """The documents' nodes ``doc_id, h``, classes ``h, root`` of linked nodes, and links ``a, b, similarity``."""
     idf = document_frequencies(docs)
     signed = write_table(sign(docs, idf), "signatures")
-    nodes = write_table(signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig")), "nodes")
+    # equal texts have equal samples
+    once = signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    nodes = write_table(once, "nodes")
     members = write_table(buckets(nodes), "members")
     wanted = members.select("h").distinct()
     texts = docs.select(_digest(), "text").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
