@@ -2,8 +2,12 @@
 
 Spark SQL has no NFKC/NFKD function. The code-point tables below are derived
 at import time from Python's Unicode data; at run time everything is
-``translate`` plus, for the few texts that need it, a constant-map lookup. The
-rare branch tests the raw column, so no expression is evaluated twice.
+``translate`` plus, for the few texts that need it, a constant-map lookup.
+Texts take the cheapest of three branches: ASCII only; Latin, Greek, Cyrillic
+and common forms; any other code point, with tables of all of Unicode. The
+branches test the raw column, so no expression is evaluated twice.
+
+Hangul syllables stay composed in all forms.
 """
 
 from __future__ import annotations
@@ -16,24 +20,33 @@ from pyspark.sql import functions as F
 
 # Latin, Greek and Cyrillic letters; punctuation and number forms; ligatures; width forms
 _RANGES = ((0xA0, 0x530), (0x1E00, 0x2500), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+# all code points but surrogates and Hangul syllables
+_ALL = ((0xA0, 0xAC00), (0xD7A4, 0xD800), (0xE000, 0x110000))
+_OTHER = r"[^\x00-\u052F\u1E00-\u24FF\uFB00-\uFB06\uFF01-\uFF5E]"
+_PLAIN = r"[^\x00-\x7F]"
 # holds every one-to-many character of the ranges; plain text seldom meets it
 _RARE = r"[\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u01C4-\u200F\u2024-\uFFFF]"
 _ENTRY, _VALUE = "\ue001", "\ue002"
 
 
+def _is_diacritic(c: str) -> bool:
+    """Marks with a combining class; vowel signs, which have none, are no diacritics."""
+    return unicodedata.combining(c) != 0
+
+
 def _drop_marks(s: str) -> str:
-    return "".join(c for c in s if not unicodedata.category(c).startswith("M"))
+    return "".join(c for c in s if not _is_diacritic(c))
 
 
 @lru_cache(maxsize=None)
-def _mapping(form: str, strip: bool) -> tuple[str, str, dict[str, str]]:
-    """One-to-one pairs (as two strings) and one-to-many expansions."""
+def _mapping(form: str, strip: bool, ranges=_RANGES) -> tuple[str, str, dict[str, str]]:
+    """One-to-one pairs (as two strings), and expansions to several characters or none."""
     src, dst, many = [], [], {}
-    for lo, hi in _RANGES:
+    for lo, hi in ranges:
         for ch in map(chr, range(lo, hi)):
             out = unicodedata.normalize(form, ch)
             out = _drop_marks(out) if strip else out
-            if out == ch or not out or unicodedata.category(ch).startswith("M"):
+            if out == ch or unicodedata.combining(ch) and strip:
                 continue
             if len(out) == 1:
                 src.append(ch)
@@ -53,7 +66,7 @@ def _char_class(chars: dict[str, str]) -> str:
     out, run = [], []
     for cp in sorted(map(ord, chars)) + [0x110000]:
         if run and cp != run[-1] + 1:
-            out.append(f"\\u{run[0]:04X}-\\u{run[-1]:04X}")
+            out.append(f"\\x{{{run[0]:X}}}-\\x{{{run[-1]:X}}}")
             run = []
         run.append(cp)
     return "".join(out)
@@ -76,34 +89,48 @@ def _expand(c: Column, many: dict[str, str]) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _compositions() -> dict[str, str]:
+def _compositions(ranges=_RANGES) -> dict[str, str]:
     pairs = {}
-    for lo, hi in _RANGES:
+    for lo, hi in ranges:
         for ch in map(chr, range(lo, hi)):
             d = unicodedata.normalize("NFD", ch)
             if d != ch and unicodedata.normalize("NFC", d) == ch:
                 pairs[d] = ch
+                # the base may have been composed in part
+                pairs["".join(chr(int(x, 16)) for x in unicodedata.decomposition(ch).split())] = ch
     return pairs
 
 
-def _compose(c: Column) -> Column:
-    return _lookup(c, r"(?s)\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+", _compositions())
+def _compose(c: Column, ranges=_RANGES) -> Column:
+    return _lookup(c, r"(?s)\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+", _compositions(ranges))
 
 
 def nfc(c: Column) -> Column:
     """Canonical composition (base letter + combining marks -> one code point)."""
-    return F.when(c.rlike(r"\p{M}"), _compose(c)).otherwise(c)
+    return F.when(c.rlike(r"\p{M}"), F.when(c.rlike(_OTHER), _compose(c, _ALL)).otherwise(_compose(c))).otherwise(c)
 
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition."""
     src, dst, many = _mapping("NFKC", False)
     rare = F.when(c.rlike(_RARE + r"|\p{M}"), _compose(_expand(c, many))).otherwise(c)
-    return F.translate(rare, src, dst)
+    all_src, all_dst, all_many = _mapping("NFKC", False, _ALL)
+    other = _compose(F.translate(_expand(c, all_many), all_src, all_dst), _ALL)
+    return F.when(~c.rlike(_PLAIN), c).when(c.rlike(_OTHER), other).otherwise(F.translate(rare, src, dst))
+
+
+@lru_cache(maxsize=None)
+def _diacritics() -> str:
+    return _char_class({c: "" for c in map(chr, range(0x300, 0x110000)) if _is_diacritic(c)})
 
 
 def fold_accents(c: Column) -> Column:
-    """NFKD with diacritics removed (also the spacing ones of ASCII and Latin-1)."""
+    """NFKD with diacritics removed (also the spacing ones of ASCII and Latin-1); other marks stay."""
     src, dst, many = _mapping("NFKD", True)
     rare = F.when(c.rlike(_RARE), _expand(c, many)).otherwise(c)
-    return F.regexp_replace(F.translate(rare, src, dst), r"[\p{M}\^`·]+", "")
+    all_src, all_dst, all_many = _mapping("NFKD", True, _ALL)
+    other = F.translate(_expand(c, all_many), all_src, all_dst)
+    wide = F.when(c.rlike(_OTHER), F.regexp_replace(other, f"[{_diacritics()}]+", "")).otherwise(
+        F.regexp_replace(F.translate(rare, src, dst), r"\p{M}+", "")
+    )
+    return F.regexp_replace(F.when(c.rlike(_PLAIN), wide).otherwise(c), r"[\^`·]+", "")

@@ -17,6 +17,11 @@ CASES = [
     (X.norm_accent_insensitive, "¿Qué pasó?", "que paso"),
     (X.norm_accent_insensitive, "camión-\n  es “rojo”", "camiones rojo"),
     (X.norm_accent_insensitive, "a^b café ﬁn", "ab cafe fin"),
+    (X.norm_strict, "ｶﾞｷﾞ ㎏ ㈱ ﻻ 𝐀𝐁 ﬁ", "ガギ kg (株) لا AB fi"),
+    (X.norm_strict, "e\u0301 か\u3099 ἀ\u0301", "é が ἄ"),
+    (X.norm_accent_insensitive, "ｶﾞ ㎏ 𝐀𝐁ς é", "カ kg abς e"),
+    (X.norm_accent_insensitive, "हिन्दी ज़", "ह नद ज"),
+    (X.norm_accent_insensitive, "Đặng ﻻ ½", "đang لا 1 2"),
     (X.norm_accent_insensitive, None, ""),
     (X.norm_strict, "“Según  el artículo” — x​", '"Según el artículo" - x'),
     (X.norm_strict, "café ﬁn", "café fin"),
