@@ -57,7 +57,7 @@ def compare(df, con, sql: str) -> str | None:
 
 def main() -> None:
     from __spark_entry__ import oracle_sql, queries
-    from hitweave.session import build_session
+    from hitweave.session import build_session, clear_shared
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
@@ -79,6 +79,7 @@ def main() -> None:
             state = f"FAIL {type(e).__name__}: {str(e)[:700]}"
         bad += not state.startswith(("ok", "rows"))
         print(f"{key:32s} {time.time() - t:6.1f}s {state}", flush=True)
+    clear_shared(spark)
     print("bad:", bad)
 
 
