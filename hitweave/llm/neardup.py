@@ -310,12 +310,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame,
     idf = document_frequencies(docs)
     signed = write_table(sign(docs, idf), "signatures")
     # equal texts have equal samples
-    once = signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    nodes = write_table(once, "nodes")
+    some = [F.first(c).alias(c) for c in ("sig", "sketch")]
+    nodes = write_table(signed.where("sig is not null").groupBy("h").agg(*some, F.min("doc_id").alias("doc_id")), "nodes")
     members = write_table(buckets(nodes), "members")
-    wanted = members.select("h").distinct()
-    texts = docs.select(_digest(), "text").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    texts = write_table(texts, "texts")
+    # one row of each text is fetched, by its id as well: copies do not meet in one task
+    wanted = members.select("h").distinct().join(nodes, "h").select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"))
+    same = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = docs.select("doc_id", _digest(), "text").join(wanted, same, "left_semi")
+    texts = write_table(texts.groupBy("h").agg(F.first("text").alias("text")), "texts")
     near = write_table(verify(central_pairs(members, nodes), texts, idf, least), "pairs")
     far = write_table(verify(nearest_pairs(members, nodes, components(near)), texts, idf, least), "pairs")
     links = near.unionByName(far)
@@ -342,7 +344,9 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     p = unused_prefix(docs)
     h, key, n = f"{p}h", f"{p}id", f"{p}n"
     chosen = write_table(chosen.select(F.col("m.h").alias(h), F.col("m.doc_id").alias(key), F.col("m.n").alias(n)), "chosen")
-    d = docs.withColumn(h, _digest()).join(chosen, h).where(F.col("doc_id").eqNullSafe(F.col(key)))
+    chosen = chosen.withColumnRenamed(h, f"{h}2")
+    d = docs.withColumn(h, _digest())
+    d = d.join(chosen, (F.col(h) == F.col(f"{h}2")) & F.col("doc_id").eqNullSafe(F.col(key)))
     once = d.where(F.col(n) == 1).select(*docs.columns)
     again = d.where(F.col(n) > 1).dropDuplicates([h]).select(*docs.columns)
     return once.unionByName(again)
