@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set of its runs of ``SHINGLE`` words: term frequency times inverse document frequency. Counting
-the frequency of every run would shuffle more than the corpus, so the IDF of a run is the mean of its words', and word
-frequencies are counted over all texts in ``DF_BINS`` hash bins (words in one bin share a count).
+A text is a weighted set of its runs of ``SHINGLE`` words: ``1 + ln`` of the term frequency, times the inverse document
+frequency plus ``SMOOTH``, so that a few rare or repeated words do not decide alone. Counting the frequency of every run
+would shuffle more than the corpus, so the IDF of a run is the mean of its words', and word frequencies are counted over
+all texts in ``DF_BINS`` hash bins (words in one bin share a count).
 
 ``SAMPLES`` consistent samples of each set agree with a chance equal to the weighted Jaccard similarity of two sets.
 Bands of ``ROWS`` samples are bucket keys. Links are searched in two rounds, without making the pairs of a bucket:
@@ -43,6 +44,7 @@ SIMILAR = 0.8
 ROWS = 3
 BANDS = 8
 SAMPLES = ROWS * BANDS
+SMOOTH = 4.0
 DF_BINS = 1 << 18
 DF_BLOCK = 4096
 NEAREST = 4
@@ -92,7 +94,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 @dataclass
 class Sets:
-    """Weighted sets of some texts. ``first[i]:first[i + 1]`` are the runs of text ``i``, each once."""
+    """Weighted sets of some texts. ``first[i]:first[i + 1]`` are the runs of text ``i``, each once, of weight ``tf * idf``."""
 
     first: np.ndarray
     run: np.ndarray
@@ -115,8 +117,8 @@ def weighted_sets(column: pa.Array, idf: np.ndarray) -> Sets:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
-    tf = np.diff(begin, append=len(h)).astype(np.float64)
-    return Sets(np.searchsorted(owner[begin], np.arange(n + 1)), h[begin], tf, mean[begin])
+    tf = 1 + np.log(np.diff(begin, append=len(h)))
+    return Sets(np.searchsorted(owner[begin], np.arange(n + 1)), h[begin], tf, mean[begin] + SMOOTH)
 
 
 def signatures(s: Sets) -> np.ndarray:
