@@ -106,23 +106,25 @@ def eval_rates(results: DataFrame) -> DataFrame:
     )
 
 
-def eval_percentile(df: DataFrame, by: str, value: str, p: float, width: float = 1.0) -> DataFrame:
+def eval_percentile(df: DataFrame, by: str, value: str, p: float, accuracy: int = 10000) -> DataFrame:
     """Exact nearest-rank percentile per group.
 
-    Values are counted in buckets first; only the bucket that holds the wanted rank is sorted, so no
-    task ever sees a whole group.
+    Approximate percentiles on both sides give bounds that hold the wanted rank; the rows below are counted, and only the
+    distinct values within the bounds are sorted. No task sees a whole group, whatever its values are.
     """
-    d = df.where(F.col(value).isNotNull()).select(by, value, F.floor(F.col(value) / width).alias("_b"))
-    sizes = d.groupBy(by, "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(by).orderBy("_b")
-    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    target = F.greatest(F.lit(1), F.ceil(F.sum("_n").over(Window.partitionBy(by)) * p))
-    spot = sizes.withColumns({"_upto": upto, "_r": target}).where(
-        (F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_n") < F.col("_r"))
-    )
-    spot = spot.select(by, "_b", (F.col("_r") - F.col("_upto") + F.col("_n")).alias("_k"))
-    inside = d.join(spot, [by, "_b"]).withColumn("_i", F.row_number().over(Window.partitionBy(by, "_b").orderBy(value)))
-    return inside.where(F.col("_i") == F.col("_k")).select(by, F.col(value).alias("percentile"))
+    d = df.where(F.col(value).isNotNull()).select(by, value)
+    off = 2 / accuracy
+    sides = F.array(F.lit(max(0.0, p - off)), F.lit(min(1.0, p + off)))
+    bounds = d.groupBy(by).agg(F.percentile_approx(value, sides, accuracy).alias("_b"))
+    bounds = bounds.select(by, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    marked = d.join(bounds, by)
+    v = F.col(value)
+    counts = marked.groupBy(by).agg(F.count("*").alias("_n"), F.count_if(v < F.col("_lo")).alias("_below"))
+    near = marked.where(v.between(F.col("_lo"), F.col("_hi"))).groupBy(by, value).agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("_n") * p)) - F.col("_below")
+    reached = near.withColumn("_upto", upto).join(counts, by).where(F.col("_upto") >= rank)
+    return reached.groupBy(by).agg(F.min(value).alias("percentile"))
 
 
 def trace_summary(

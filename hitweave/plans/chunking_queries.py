@@ -154,8 +154,11 @@ def _link(spark, sd):
 
 @query("tag_language")
 def _language(spark, sd):
+    """Each half of the documents is tagged by profiles that the other half gave."""
     d = spread(read(spark, sd, "documents").select("doc_id", "lang", "text"), "doc_id")
-    tagged = tag_language(d, language_profiles(d), "doc_id")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    a, b = d.where(half == 0), d.where(half == 1)
+    tagged = tag_language(a, language_profiles(b), "doc_id").unionByName(tag_language(b, language_profiles(a), "doc_id"))
     return tagged.select("doc_id", "lang", "language", "confidence")
 
 

@@ -187,3 +187,23 @@ def test_validate_and_repair(spark):
     }
     flags = {r["query_id"]: r["needs_repair"] for r in C.repair_flag(fixed, got).collect()}
     assert flags == {1: False, 2: False, 3: True}
+
+
+def test_percentile_is_exact_in_any_distribution(spark):
+    import math
+    import random
+
+    from hitweave.operators.evaluation import eval_percentile
+
+    r = random.Random(2)
+    groups = {
+        "tied": [1.0] * 5000 + [2.0] * 10,
+        "narrow": [r.random() * 1e-6 for _ in range(3000)],
+        "wide": [r.random() ** 9 * 1e9 for _ in range(3001)],
+        "one": [5.0],
+        "few": [3.0, 1.0, 2.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {x.g: x.percentile for x in eval_percentile(df, "g", "v", p).collect()}
+        assert got == {g: sorted(vs)[max(1, math.ceil(len(vs) * p)) - 1] for g, vs in groups.items()}
