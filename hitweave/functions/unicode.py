@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 # Latin, Greek and Cyrillic letters; punctuation and number forms; ligatures; width forms
 _RANGES = ((0xA0, 0x530), (0x1E00, 0x2500), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
-# all code points but surrogates and Hangul syllables
-_ALL = ((0xA0, 0xAC00), (0xD7A4, 0xD800), (0xE000, 0x110000))
+# the blocks that hold all code points with a mapping, without Hangul syllables
+_ALL = ((0xA0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x12000), (0x16000, 0x17000), (0x1CC00, 0x20000), (0x2F800, 0x2FA20))
 _OTHER = r"[^\x00-\u052F\u1E00-\u24FF\uFB00-\uFB06\uFF01-\uFF5E]"
 _PLAIN = r"[^\x00-\x7F]"
 # holds every one-to-many character of the ranges; plain text seldom meets it
@@ -121,7 +121,7 @@ def nfkc(c: Column) -> Column:
 
 @lru_cache(maxsize=None)
 def _diacritics() -> str:
-    return _char_class({c: "" for c in map(chr, range(0x300, 0x110000)) if _is_diacritic(c)})
+    return _char_class({c: "" for c in map(chr, range(0x300, 0x20000)) if _is_diacritic(c)})
 
 
 def fold_accents(c: Column) -> Column:

@@ -148,7 +148,7 @@ def best_span(hint: Column | str, text: Column | str) -> Column:
     def search(w: Column, hints: Column) -> Column:
         n = F.size(w)
         # all words are normalised in one go
-        normed = F.split(norm_loose_decimal(F.array_join(w, BETWEEN), BETWEEN), BETWEEN, -1)
+        normed = let(F.array_join(w, BETWEEN), lambda t: F.split(norm_loose_decimal(t, BETWEEN), BETWEEN, -1))
         marks = F.transform(normed, lambda x: F.array_contains(hints, F.btrim(x)).cast("int"))
 
         def at(m: Column, i: Column) -> Column:

@@ -106,3 +106,15 @@ def test_patterns(spark):
     r = P.pattern_tags(df, "t").first()
     assert r["numeric_question"] and r["ordered_question"] and not r["contradiction"]
     assert r["digits"] == "¿Cuántos pasos? 3 de cada 10"
+
+
+def test_tables_cover_all_of_unicode():
+    import unicodedata
+
+    from hitweave.functions import unicode as U
+
+    covered = {cp for lo, hi in U._ALL for cp in range(lo, hi)} | set(range(0xAC00, 0xD7A4)) | set(range(0xD800, 0xE000))
+    for cp in range(0xA0, 0x110000):
+        if cp not in covered:
+            c = chr(cp)
+            assert unicodedata.normalize("NFKD", c) == c and (cp < 0x20000 or not unicodedata.combining(c)), hex(cp)
