@@ -278,7 +278,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = S
     """Pairs whose texts are similar enough: ``a, b, similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta", 2 << 20):
+        for batch in slices(batches, "ta", 1 << 20):
             s = similarity(batch.column(2), batch.column(3), idf)
             ok = pa.array(s >= least)
             part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "similarity"])

@@ -37,14 +37,14 @@ SEED = 9
 
 
 def _class(chars: str) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[list(chars.encode())] = 1
     return table
 
 
 _UPPER, _DIGIT, _SPACE, _LINE = _class("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class("0123456789"), _class(" \t\r\f\v"), _class("\n")
 _STOP, _MARK, _SYMBOL, _BAR = _class(".,;:?"), _class("!\"'()-"), _class("*%$#&@^~<>=+_/\\[]{}"), _class("|")
-_OTHER = np.zeros(256, np.int64)
+_OTHER = np.zeros(256, np.uint8)
 _OTHER[128:] = 1
 
 
@@ -56,7 +56,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     count, owner, length = w.counts(), w.owner(), w.end - w.start
 
     def per_text(table: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(table[w.data])])
+        run = np.zeros(len(w.data) + 1, np.int64)
+        np.cumsum(table[w.data], dtype=np.int64, out=run[1:])
         return np.diff(run[w.offsets])
 
     def of_words(values: np.ndarray) -> np.ndarray:
