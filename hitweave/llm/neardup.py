@@ -10,12 +10,12 @@ Bands of ``ROWS`` samples are bucket keys. Links are searched in two rounds, wit
 
 1. the members of each bucket are compared with its most central member; copies of one original meet there, even where
    they differ from each other;
-2. members of one bucket that are still in different classes are compared with the ``NEAREST`` others of other classes
-   that agree best, in blocks of ``BLOCK`` members at most.
+2. members of one bucket that are still in different classes are joined exactly: every pair is compared or ruled out by
+   a bound, in pairs of blocks of some ``BLOCK`` runs. No bucket is too large, none of its pairs is left out.
 
-Centrality and agreement look at a sketch beside the samples: the least run of each of ``BINS`` ranges of hashes, which
-costs nothing as runs are in the order of their hashes. The most central member is the one that agrees best with the
-commonest value of each bin; two texts that few samples tell apart differ there.
+Centrality looks at a sketch beside the samples: the least run of each of ``BINS`` ranges of hashes, which costs nothing
+as runs are in the order of their hashes. The most central member is the one that agrees best with the commonest value of
+each bin; two texts that few samples tell apart differ there.
 
 Every link is verified by the exact weighted Jaccard similarity of the whole texts. Classes are the connected
 components of links, and of equal texts, which are one node from the start.
@@ -47,10 +47,8 @@ SAMPLES = ROWS * BANDS
 SMOOTH = 4.0
 DF_BINS = 1 << 18
 DF_BLOCK = 4096
-NEAREST = 4
 BINS = 64
-LEAST_AGREE = 54
-BLOCK = 512
+BLOCK = 1 << 17
 _CHUNK = 1 << 17
 
 _rng = np.random.default_rng(77)
@@ -198,7 +196,7 @@ def _digest(text: str = "text"):
 
 
 def sign(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, h, sig, sketch`` of every text; ``h`` stands for equal texts, ``sig`` is null without words."""
+    """``key, h, sig, sketch, runs, weight`` of every text; ``h`` stands for equal texts, ``sig`` is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -208,10 +206,14 @@ def sign(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "tex
             none = np.diff(s.first) == 0
             sig = pa.array([None if m else v for m, v in zip(none, sig, strict=True)], pa.list_(pa.int32()))
             sketch = pa.array([row.tobytes() for row in sketches(s)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig, sketch], [key, "h", "sig", "sketch"])
+            size = np.diff(s.first)
+            weight = np.bincount(np.repeat(np.arange(len(size)), size), s.tf * s.idf, len(size))
+            columns = [batch.column(0), batch.column(1), sig, sketch, pa.array(size, pa.int64()), pa.array(weight, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "h", "sig", "sketch", "runs", "weight"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, _digest(text), text).mapInArrow(run, f"`{key}` {kind}, h binary, sig array<int>, sketch binary")
+    schema = f"`{key}` {kind}, h binary, sig array<int>, sketch binary, runs long, weight double"
+    return docs.select(key, _digest(text), text).mapInArrow(run, schema)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -243,35 +245,113 @@ def central_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return star.unionByName(two).distinct()
 
 
-def nearest_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of one bucket but different classes that agree best, as ``a, b`` with ``a < b``."""
-    m = members.join(classes, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = m.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
-    block = F.pmod(F.xxhash64("h", "band"), F.ceil(F.col("members") / BLOCK)).alias("block")
-    m = m.join(mixed, ["band", "key"], "left_semi").join(nodes, "h").select("band", "key", block, "h", "root", "sig", "sketch")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        h, root = t.column("h").to_pylist(), t.column("root").to_pylist()
-        n = len(h)
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(n, SAMPLES)
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(n, BINS)
-        seen = np.hstack([sig, sketch.astype(np.int32)])
-        number = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        of = np.array([number[r] for r in root])
-        agree = np.zeros((n, n), np.int16)
-        for column in seen.T:
-            agree += column[:, None] == column[None, :]
-        agree[of[:, None] == of[None, :]] = 0
-        found = set()
-        near = np.argsort(-agree, axis=1, kind="stable")[:, :NEAREST]
-        for i in range(n):
-            for j in near[i].tolist():
-                if agree[i, j] >= LEAST_AGREE:
-                    found.add((min(h[i], h[j]), max(h[i], h[j])))
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return m.groupBy("band", "key", "block").applyInArrow(pairs, "a binary, b binary").distinct()
+def class_links(column: pa.Array, root: np.ndarray, side: np.ndarray, idf: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Links between texts of different classes, by row numbers; if there are two sides, between texts of both.
+
+    All similar pairs are found, but once a link joins two classes no second one between them is looked for. Runs are put
+    in one order, rare ones first; the first run that two texts share has ``1 - least`` of either's weight before it at
+    most if they are similar, so only texts that share a run up to there, and whose weights allow it, are compared.
+    """
+    s = weighted_sets(column, idf)
+    n = len(root)
+    owner = np.repeat(np.arange(n), np.diff(s.first))
+    _, run, often = np.unique(s.run, return_inverse=True, return_counts=True)
+    weight = s.tf * s.idf
+    total = np.bincount(owner, weight, n)
+    slack = 1e-6  # for sums in another order
+    order = np.lexsort((run, often[run], owner))
+    upto = np.concatenate([[0.0], np.cumsum(weight[order])])
+    before = upto[:-1] - upto[s.first[:-1]][owner]
+    head = order[before <= (1 - least + slack) * total[owner] + slack]
+    head = head[often[run[head]] > 1]
+    own = np.searchsorted(owner[head], np.arange(n + 1))
+    post = head[np.argsort(run[head], kind="stable")]
+    where = np.searchsorted(run[post], np.arange(len(often) + 1))
+    post = owner[post]
+    of = np.unique(root, return_inverse=True)[1]
+    one = side.min() == side.max()
+    mine = np.zeros(len(often))
+    found = []
+    for x in range(n):
+        r = run[head[own[x] : own[x + 1]]]
+        y = np.unique(post[_ranges(where[r], where[r + 1])])
+        y = y[(y > x) & (of[y] != of[x]) & (one | (side[y] != side[x]))]
+        y = y[np.minimum(total[y], total[x]) >= (least - slack) * np.maximum(total[y], total[x])]
+        if not len(y):
+            continue
+        px = slice(s.first[x], s.first[x + 1])
+        mine[run[px]] = s.tf[px]
+        while len(y):
+            size = np.cumsum(s.first[y + 1] - s.first[y])
+            some, y = np.split(y, [max(1, int(np.searchsorted(size, _CHUNK)))])
+            e = _ranges(s.first[some], s.first[some + 1])
+            first = np.concatenate([[0], size[: len(some) - 1]])
+            shared = np.add.reduceat(np.minimum(s.tf[e], mine[run[e]]) * s.idf[e], first)
+            alike = shared / (total[x] + total[some] - shared)
+            ok = np.flatnonzero(alike >= least)
+            ok = ok[np.unique(of[some[ok]], return_index=True)[1]]
+            for k in ok.tolist():
+                found.append((x, int(some[k]), float(alike[k])))
+            of[np.isin(of, of[some[ok]])] = of[x]
+            y = y[of[y] != of[x]]
+        mine[run[px]] = 0
+    return found
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+def remaining_links(members: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links between members of one bucket but different classes, as ``a, b, similarity`` with ``a < b``.
+
+    Pairs of two members were compared before. Of buckets with the same members one is searched. The members of the
+    bucket's largest class and the others are cut into blocks of some ``BLOCK`` runs; every block of others meets itself,
+    the other ones and every block of the largest class, whose members go where their weight allows no link.
+    """
+    bucket = ["band", "key"]
+    m = members.where("members > 2").select(*bucket, "h").join(nodes.select("h", "runs", "weight"), "h")
+    m = write_table(m.join(classes, "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
+    marks = [F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    each = m.groupBy(*bucket, "root").agg(
+        F.count("*").alias("n"), F.sum("runs").alias("runs"), F.min("weight").alias("lo"), F.max("weight").alias("hi"), *marks
+    )
+    each = write_table(each, "rooted")
+    large = each.groupBy(*bucket).agg(F.max(F.struct("n", "root"))["root"].alias("large"), F.count("*").alias("c"))
+    rest = F.col("root") != F.col("large")
+    sized = each.join(large.where("c > 1"), bucket).groupBy(*bucket, "large").agg(
+        F.ceil(F.sum(F.when(rest, F.col("runs"))) / BLOCK).alias("nr"),
+        F.ceil(F.sum(F.when(~rest, F.col("runs"))) / BLOCK).alias("nl"),
+        F.min(F.when(rest, F.col("lo"))).alias("lo"),
+        F.max(F.when(rest, F.col("hi"))).alias("hi"),
+        F.bit_xor("mark0").alias("mark0"),
+        F.bit_xor("mark1").alias("mark1"),
+    )
+    sized = sized.groupBy("mark0", "mark1").agg(F.min(F.struct(*bucket, "large", "nr", "nl", "lo", "hi")).alias("s")).select("s.*")
+    m = m.join(sized, bucket)
+    m = m.where(rest | F.col("weight").between(F.col("lo") * (least - 1e-6), F.col("hi") / (least - 1e-6)))
+    draw = F.xxhash64("h", F.lit(2))
+    own = F.when(rest, F.pmod(draw, F.col("nr"))).otherwise(F.col("nr") + F.pmod(draw, F.col("nl")))
+    others = F.sequence(F.lit(0), F.when(rest, F.col("nr") + F.col("nl")).otherwise(F.col("nr")).cast("int") - 1)
+    m = m.select(*bucket, "h", "root", own.alias("own"), F.explode(others).alias("other"))
+    pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    m = m.select(*bucket, *pair, "h", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+
+    def run(t: pa.Table) -> pa.Table:
+        h = t.column("h").to_pylist()
+        number = {r: i for i, r in enumerate(dict.fromkeys(t.column("root").to_pylist()))}
+        root = np.array([number[r] for r in t.column("root").to_pylist()])
+        side = t.column("side").to_numpy()
+        found = []
+        if len(number) > 1 and (t.column("i")[0] == t.column("j")[0] or side.min() < side.max()):
+            found = class_links(t.column("text"), root, side, idf, least)
+        a = pa.array([min(h[x], h[y]) for x, y, _ in found], pa.binary())
+        b = pa.array([max(h[x], h[y]) for x, y, _ in found], pa.binary())
+        return pa.table({"a": a, "b": b, "similarity": pa.array([z for _, _, z in found], pa.float64())})
+
+    out = m.join(texts, "h").groupBy(*bucket, "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
+    return out.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
@@ -312,7 +392,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame,
     idf = document_frequencies(docs)
     signed = write_table(sign(docs, idf), "signatures")
     # equal texts have equal samples
-    some = [F.first(c).alias(c) for c in ("sig", "sketch")]
+    some = [F.first(c).alias(c) for c in ("sig", "sketch", "runs", "weight")]
     nodes = write_table(signed.where("sig is not null").groupBy("h").agg(*some, F.min("doc_id").alias("doc_id")), "nodes")
     members = write_table(buckets(nodes), "members")
     # one row of each text is fetched, by its id as well: copies do not meet in one task
@@ -321,7 +401,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame,
     texts = docs.select("doc_id", _digest(), "text").join(wanted, same, "left_semi")
     texts = write_table(texts.groupBy("h").agg(F.first("text").alias("text")), "texts")
     near = write_table(verify(central_pairs(members, nodes), texts, idf, least), "pairs")
-    far = write_table(verify(nearest_pairs(members, nodes, components(near)), texts, idf, least), "pairs")
+    far = write_table(remaining_links(members, nodes, components(near), texts, idf, least), "pairs")
     links = near.unionByName(far)
     return signed.select("doc_id", "h"), components(links), links
 

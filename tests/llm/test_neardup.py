@@ -144,3 +144,29 @@ def test_odd_rows(odd, empty):
     kept = N.keep_one(odd).collect()
     assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 3, 4, 5, 5, None, 8, 9], key=str)
     assert N.near_duplicate_classes(empty).count() == 0 and N.keep_one(empty).count() == 0
+
+
+def test_large_bucket_is_searched_whole(spark):
+    """Thousands of texts around one long passage share a bucket: links between any of them are found, and no others."""
+    common = text(200)
+    rest = [f"{common} {text(90)}" for _ in range(2500)]
+    pairs = [(f"{common} {t}", f"{common} {edited(t, 3)}") for t in (text(90) for _ in range(60))]
+    texts = rest + [t for p in pairs for t in p]
+    idf = np.ones(N.DF_BINS, np.float32)
+    sets = N.weighted_sets(pa.array(texts), idf)
+    weight = np.add.reduceat(sets.tf * sets.idf, sets.first[:-1])
+    h = [i.to_bytes(8) for i in range(len(texts))]
+    nodes = [(k, int(n), float(w)) for k, n, w in zip(h, np.diff(sets.first), weight, strict=True)]
+    got = N.remaining_links(
+        spark.createDataFrame([(0, 1, k, len(h)) for k in h], "band int, key long, h binary, members long").repartition(3),
+        spark.createDataFrame(nodes, "h binary, runs long, weight double"),
+        spark.createDataFrame([(k, h[0]) for k in h[:1500]], "h binary, root binary"),  # some in one class
+        spark.createDataFrame(list(zip(h, texts, strict=True)), "h binary, text string").repartition(3),
+        idf,
+        0.8,
+    )
+    got = {(int.from_bytes(r.a), int.from_bytes(r.b)): r.similarity for r in got.collect()}
+    want = [(len(rest) + 2 * i, len(rest) + 2 * i + 1) for i in range(len(pairs))]
+    assert sorted(got) == want
+    exact = N.similarity(pa.array([texts[a] for a, _ in want]), pa.array([texts[b] for _, b in want]), idf)
+    assert [got[p] for p in want] == pytest.approx(exact.tolist())
