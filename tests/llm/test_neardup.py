@@ -170,3 +170,18 @@ def test_large_bucket_is_searched_whole(spark):
     assert sorted(got) == want
     exact = N.similarity(pa.array([texts[a] for a, _ in want]), pa.array([texts[b] for _, b in want]), idf)
     assert [got[p] for p in want] == pytest.approx(exact.tolist())
+
+
+def test_many_near_misses_do_not_hide_a_link(docs):
+    """Each text has more than four neighbours just below the threshold in other classes, and some a true link."""
+    common = text(170)
+    out = [f"{common} {text(14)}" for _ in range(300)]
+    for _ in range(30):
+        t = text(14)
+        out += [f"{common} {t}", f"{common} {edited(t, 2)}"]
+    d = docs([(i, t, "a") for i, t in enumerate(out)])
+    idf = N.document_frequencies(d)
+    want, _ = classes_by_brute_force(out, idf)
+    assert 200 < len(set(want)) < len(out)
+    got = by_id(N.near_duplicate_classes(d))
+    assert not same([got[i].class_id for i in range(len(out))], want)
