@@ -5,10 +5,12 @@ block begins, stray end tags are ignored, a cut page ends all elements). Paragra
 commas and their length to parent, grandparent and further ancestors, each share smaller; an element's points are
 discounted by the part of its text that stands in links. The best element (or the article around it) and those
 siblings that score near it or are plain paragraphs are kept; beside an article only further articles. Menus, headers,
-footers, sidebars, notices, adverts, forms, comments and hidden elements are left out by element, role and class.
+footers, sidebars, notices, adverts, forms, comments and hidden elements are left out by element, role and class; by class
+or id not if they hold an article or most of the page's text outside links (comments: all of it). Where no block is long
+enough for points, an article's words or else all text outside the left-out parts are kept.
 
-Defined cases: null and empty pages, and pages without text outside the left-out parts, give an empty text; a
-character reference without a semicolon or a tag cut by the page's end are read as far as they go; repeated pages give
+Defined cases: null and empty pages, pages without text outside the left-out parts, and text without any element give an
+empty text; a character reference without a semicolon or a tag cut by the page's end are read as far as they go; repeated pages give
 equal results; an empty table gives an empty result.
 """
 
@@ -38,6 +40,7 @@ NAMES = frozenset(
     "breadcrumbs footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice popup modal overlay "
     "subscribe newsletter signup login share sharing social related widget pagination pager toolbar".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 PROTECTED = frozenset("html body article main".split())
 ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -45,6 +48,8 @@ ENDS = {
 }
 SCOPES = frozenset("html body article main section div ul ol dl table td th blockquote nav header footer aside form".split())
 
+COMMAS = ",\uff0c\u3001\u060c"
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S,
@@ -54,25 +59,56 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "score", "text", "links")
+    __slots__ = ("tag", "parent", "parts", "out", "named", "comments", "score", "text", "links")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, named: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
+        self.comments = not COMMENTS.isdisjoint(named)
         self.parts: list[Node | str] = []
         self.score = 0.0
         self.text = self.links = 0
 
 
-def _left_out(tag: str, attributes: str, inside: set[str]) -> bool:
+def _left_out(tag: str, attributes: str, inside: set[str]) -> tuple[bool, frozenset[str]]:
+    """Whether an element is left out for what it is, and the parts left out that its class or id names."""
     if tag in LEFT_OUT or tag == "header" and not inside & {"article", "main"}:
-        return True
+        return True, frozenset()
     if not attributes.strip(" /\n") or tag in PROTECTED:
-        return False
+        return False, frozenset()
     a = {k.lower(): html.unescape(x or y or z or "") for k, x, y, z in ATTRIBUTE.findall(attributes)}
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "").lower()) or a.get("role", "").lower() in ROLES:
-        return True
+        return True, frozenset()
     names = re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return not NAMES.isdisjoint(names)
+    return False, NAMES.intersection(names)
+
+
+def _leave_out_named(root: Node) -> None:
+    """Leave out elements named like menus and so on, but not around an article or most of the text outside
+    links (comments: all of it); the text is that of the articles where they have some.
+    """
+    seen, todo = [], [root]
+    while todo:  # ancestors come before what they hold
+        x = todo.pop()
+        if not x.out:
+            seen.append(x)
+            todo.extend(p for p in x.parts if isinstance(p, Node))
+    if not any(x.named for x in seen):
+        return
+    holds = dict.fromkeys(seen, False)
+    plain = {x: 0 if x.tag == "a" else sum(len(p.strip()) for p in x.parts if isinstance(p, str)) for x in seen}
+    for x in reversed(seen):
+        if x.parent is not None:
+            plain[x.parent] += 0 if x.parent.tag == "a" else plain[x]
+            holds[x.parent] |= holds[x] or x.tag in ("article", "main")
+    inside = dict.fromkeys(seen, False)
+    for x in seen:
+        if x.parent is not None:
+            inside[x] = inside[x.parent] or x.parent.tag in ("article", "main")
+    whole = sum(plain[x] for x in seen if x.tag in ("article", "main") and not inside[x])
+    for x in seen:
+        if x.named and not holds[x]:
+            of = whole or plain[root]
+            x.out = bool(whole) and not inside[x] or plain[x] * 2 <= of or x.comments and plain[x] < of
 
 
 def parse(page: str) -> Node:
@@ -114,11 +150,13 @@ def parse(page: str) -> Node:
                 elif stack[i].tag in SCOPES:
                     break
         parent = stack[-1]
-        node = Node(tag, parent, parent.out or _left_out(tag, m[3] or m[6] or "", {x.tag for x in stack}))
+        out, named = _left_out(tag, m[3] or m[6] or "", {x.tag for x in stack})
+        node = Node(tag, parent, parent.out or out, named)
         parent.parts.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
             stack.append(node)
     say(page[at:])
+    _leave_out_named(root)
     return root
 
 
@@ -149,7 +187,7 @@ def _score(root: Node) -> list[Node]:
             block = next(n for n in reversed(where) if n.tag in BLOCK or n is root)
             o = own.setdefault(block, [0, 0])
             o[0] += size
-            o[1] += x.count(",")
+            o[1] += sum(x.count(c) for c in COMMAS)
         elif not after:
             where.append(x)
             depth_of_link += x.tag == "a"
@@ -205,7 +243,7 @@ def main_text(page: str | None) -> str:
     else:  # nothing long enough: an article's few words, if there is one
         best = next((x for x, _ in _walk(root) if isinstance(x, Node) and x.tag in ("article", "main")), None)
         if best is None:
-            return ""
+            return _rest(root)
     keep = [best]
     if best.parent is not None and best.parent is not root:
         least = best.score * 0.2
@@ -217,7 +255,12 @@ def main_text(page: str | None) -> str:
                 density = s.links / s.text if s.text else 1.0
                 if s.score >= least or s.tag == "p" and (s.text > 80 and density < 0.25 or s.text and not density):
                     keep.append(s)
-    return " ".join(b for n in keep for b in _blocks(n) if b)
+    return " ".join(b for n in keep for b in _blocks(n) if b) or _rest(root)
+
+
+def _rest(root: Node) -> str:
+    """All text of a page but the left-out parts; text without any element is no page."""
+    return " ".join(b for b in _blocks(root) if b) if any(isinstance(p, Node) for p in root.parts) else ""
 
 
 def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:

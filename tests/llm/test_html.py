@@ -46,3 +46,19 @@ def test_table_of_pages(spark):
     got = {r.page_id: r.text for r in out.collect()}
     assert got == {i: w for i, (_, w) in enumerate(CASES)}
     assert extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><h1>Notice</h1><p>Closed today</p><ul><li>a<li>b</ul></body>", "Notice Closed today a b"),
+    ("<nav>menu</nav><p>今日は休みです。</p><footer>x</footer>", "今日は休みです。"),
+    ("<article></article><p>few words</p>", "few words"),
+    (f"<div class='content has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div id=social-app><main><p>{LONG}</p><div class=ad>Buy</div></main></div>", LONG),
+    (f"<div id=social-app><div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div></div>", f"{LONG} {LONG}"),
+    (f"<div><p>{LONG}</p><div class=comments><p>{LONG}</p><p>{LONG}</p></div></div>", LONG),
+    (f"<div class=no-comments><p>{LONG}</p></div>", LONG),
+    (f"<div class=ad>{LONG}</div><article><h1>Short</h1><p>few</article>", "Short few"),
+    ("<div class=menu><a href=a>x</a></div>", ""),
+])
+def test_pages_are_not_lost_by_thresholds(page, want):
+    assert main_text(page) == want
