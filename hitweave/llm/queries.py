@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import decontam, gif, html, licences, mixing, neardup, pii, quality, sharding, toxicity
+from hitweave.llm import decontam, gif, html, importance, licences, mixing, neardup, pii, quality, sharding, toxicity
 from hitweave.llm.registry import query, read
+from hitweave.llm.sqltext import CRC_TABLE, crc32
 
 
 @query("op4_sharding")
@@ -63,3 +64,42 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def _features_sql(table: str) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"unnest(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM {table}"
+
+
+RESAMPLE_SQL = f"""
+WITH {CRC_TABLE}, d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+words AS (SELECT row, {_features_sql("d")}),
+asked AS (SELECT {_features_sql("benchmark")}),
+buckets AS (SELECT w, {crc32("w")} % 10000 AS bucket FROM (SELECT w FROM words UNION SELECT w FROM asked), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN buckets USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM asked JOIN buckets USING (w) GROUP BY bucket),
+gain AS (
+  SELECT b.bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM words) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM asked) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT row, count(*) AS n, sum(gain) AS weight FROM words JOIN buckets USING (w) JOIN gain USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN sums USING (row)),
+scored AS (
+  SELECT doc_id, n_features, weight,
+    weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM weighed),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND r <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN r END AS rank
+FROM ordered
+"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")

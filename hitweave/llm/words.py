@@ -79,13 +79,26 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words(column: pa.Array) -> Words:
+#: tokens between white space: every byte but 20 and 09-0D belongs to one
+TOKEN_BYTES = np.ones(256, bool)
+TOKEN_BYTES[[0x20, *range(0x09, 0x0E)]] = False
+TOKEN_HASH = np.random.default_rng(20240307).integers(1, 1 << 63, 256, dtype=np.uint64)
+TOKEN_HASH[0x41:0x5B] = TOKEN_HASH[0x61:0x7B]
+
+
+def tokens(column: pa.Array) -> Words:
+    """Like ``words`` for runs of ``[^\\x20\\x09-\\x0D]+``."""
+    return words(column, TOKEN_BYTES, TOKEN_HASH)
+
+
+def words(column: pa.Array, members: np.ndarray = _IS_WORD, hash_of: np.ndarray = _TAB) -> Words:
+    """Words of a column. ``members`` marks the bytes of words, ``hash_of`` has a random number for each of them."""
     data, offsets = raw(column)
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
         return Words(np.zeros(len(offsets), np.int64), none, none, np.zeros(0, np.uint64), data, offsets)
-    inside = _IS_WORD[data]
+    inside = members[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -102,7 +115,7 @@ def words(column: pa.Array) -> Words:
         part = data[start[at] : end[to - 1]]
         gap = np.diff(own, append=len(part))
         place = (np.arange(len(part)) - np.repeat(own, gap)) & 4095
-        out[at:to] = np.add.reduceat(_TAB[part] * _POW[place], own)
+        out[at:to] = np.add.reduceat(hash_of[part] * _POW[place], own)
         at = to
     return Words(first, start, end, mix(out), data, offsets)
 
