@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import decontam, gif, html, importance, licences, mixing, neardup, pii, quality, sharding, toxicity
+from hitweave.llm import conversations, decontam, gif, html, importance, licences, lm, mixing, neardup, pii, quality, sharding, toxicity
 from hitweave.llm.registry import query, read
 from hitweave.llm.sqltext import CRC_TABLE, crc32
 
@@ -103,3 +103,81 @@ FROM ordered
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_language_model")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold("doc_id", 7) == 2
+    s = lm.lm_scores(read(spark, sf_dir, "documents"), ~held_out)
+    return s.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+# situations: 0 nothing yet, 1 after a system message, 2 after the user, 3 after the assistant
+REPAIR_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (SELECT named.*, {crc32("name")} % 20 AS kind FROM named, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) AS times(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)),
+convs AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged d JOIN convs c ON d.conv_id IS NOT DISTINCT FROM c.conv_id),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM placed),
+messages AS (
+  SELECT conv, turn, role, text, i, left(role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM seen),
+inserts(q, p, more) AS (
+  VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+moves(p, initial, letter, price, r) AS (
+  SELECT q, '-', 'D', 4, q FROM (VALUES (0), (1), (2), (3)) AS v(q)
+  UNION ALL VALUES (0, '-', 'R', 3, 2), (1, '-', 'R', 3, 2), (3, '-', 'R', 3, 2), (2, '-', 'R', 3, 3),
+    (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (3, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3)),
+best(conv, i, q, b) AS (
+  SELECT conv, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'edits': ''}} FROM convs
+  UNION ALL
+  SELECT best.conv, best.i + 1, moves.r, min({{
+    'cost': b.cost + 3 * length(more) + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+    'edits': b.edits || more || letter}})
+  FROM best JOIN inserts ON best.q = inserts.q JOIN moves ON inserts.p = moves.p
+    JOIN messages m ON m.conv = best.conv AND m.i = best.i + 1
+  WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR moves.initial = m.initial)
+  GROUP BY best.conv, best.i + 1, moves.r),
+sizes AS (SELECT convs.conv, conv_id, count(i) AS n FROM convs LEFT JOIN messages USING (conv) GROUP BY convs.conv, conv_id),
+chosen AS (
+  SELECT sizes.conv, min({{'cost': b.cost + 3 * length(more), 'edits': b.edits || more}}) AS b
+  FROM sizes JOIN best ON best.conv = sizes.conv AND best.i = n JOIN inserts ON best.q = inserts.q AND p IN (0, 3)
+  GROUP BY sizes.conv),
+letters AS (SELECT conv, unnest(string_split(b.edits, '')) AS letter, generate_subscripts(string_split(b.edits, ''), 1) AS place FROM chosen WHERE b.edits <> ''),
+numbered AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv ORDER BY place) AS i FROM letters),
+kept AS (
+  SELECT k.conv, place, letter, role, text, row_number() OVER w - 1 AS j,
+    first_value(CASE WHEN letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER w AS shift
+  FROM numbered k LEFT JOIN messages m ON m.conv = k.conv AND m.i = k.i AND letter <> 'I'
+  WHERE letter <> 'D' WINDOW w AS (PARTITION BY k.conv ORDER BY place)),
+lines AS (
+  SELECT conv, place, CASE WHEN letter = 'K' THEN role WHEN (j - shift) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line
+  FROM kept),
+texts AS (SELECT conv, string_agg(line, chr(10) ORDER BY place) AS body FROM lines GROUP BY conv),
+pairs AS (SELECT conv, fault, turn, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM messages),
+figures AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.edits AS audit,
+  sha256(coalesce(body, '')) AS repaired_sha256
+FROM sizes JOIN chosen USING (conv) LEFT JOIN figures USING (conv) LEFT JOIN texts USING (conv)
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(conversations.damage(read(spark, sf_dir, "conversations")))

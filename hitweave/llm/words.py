@@ -84,6 +84,7 @@ TOKEN_BYTES = np.ones(256, bool)
 TOKEN_BYTES[[0x20, *range(0x09, 0x0E)]] = False
 TOKEN_HASH = np.random.default_rng(20240307).integers(1, 1 << 63, 256, dtype=np.uint64)
 TOKEN_HASH[0x41:0x5B] = TOKEN_HASH[0x61:0x7B]
+TOKEN_HASH[~TOKEN_BYTES] = 0
 
 
 def tokens(column: pa.Array) -> Words:
@@ -92,7 +93,7 @@ def tokens(column: pa.Array) -> Words:
 
 
 def words(column: pa.Array, members: np.ndarray = _IS_WORD, hash_of: np.ndarray = _TAB) -> Words:
-    """Words of a column. ``members`` marks the bytes of words, ``hash_of`` has a random number for each of them."""
+    """Words of a column. ``members`` marks the bytes of words, ``hash_of`` has a random number for each of them and 0 for others."""
     data, offsets = raw(column)
     n = len(data)
     none = np.zeros(0, np.int64)
