@@ -1,13 +1,15 @@
 """Personal data by a skip-chain conditional random field.
 
 Regular expressions with checks give the base spans (e-mail, IP address, card, phone). The field's nodes are these spans
-and candidates that no expression accepts: numbers of 7 to 19 digits, and words equal to the name part of an address
-that the text holds. Neighbours in the text are joined by chain edges; nodes with equal digits, equal last digits or equal
+and candidates that no expression accepts: numbers of 7 to 19 digits, and words equal (but for the case of ASCII letters)
+to the name part of an address that the text holds, if that has more than ``SHORT_NAME`` characters and not letters alone,
+which an ordinary word has too. Neighbours in the text are joined by chain edges; nodes with equal digits, equal last digits or equal
 names, however far apart, are joined by skip edges to the first base span among them, or else to the first node. Loopy
 belief propagation (``ROUNDS`` damped rounds) lets linked nodes agree over the whole text; base spans keep their label.
 A candidate whose most probable label is a kind of personal data, with ``LEAST`` or more, is added as a span.
 
-Potentials are trained by pseudo-likelihood on the nodes of ``SAMPLE`` texts at most that hold any, chosen by hash: base
+Potentials are trained by pseudo-likelihood on the first ``SAMPLE_NODES`` nodes of ``SAMPLE`` different rows at most, the
+least by a hash of id and nodes: base
 spans have their kind, candidates without a link to a base span have none, and linked candidates, whose label is
 unknown, take no part. Skip edges add ``SKIP_PRIOR`` to the learnt weight.
 
@@ -40,9 +42,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 NUMBER = re.compile(r"\(?[0-9][0-9().\x20-]{4,}[0-9]")
+# all that could be the name part of an address, but does not stand before a domain
+NAME = re.compile(r"[A-Za-z0-9._%+-]++(?!@)")
 TRIGGER = re.compile(r"[0-9@]")
 LABELS = 5
 SAMPLE = 20000
+SAMPLE_NODES = 64
+SHORT_NAME = 3
 ROUNDS = 12
 DAMPING = 0.5
 LEAST = 0.5
@@ -81,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``start, kind, end`` of all base spans in order."""
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         d = digits(m[0])
@@ -119,18 +125,12 @@ def nodes(text: str) -> list[tuple[int, int, int, int, int, int]]:
         part = text[a:b]
         d = digits(part) if kind else ""
         local = part.split("@")[0].lower() if kind == 0 else ""
-        names.add(local if len(local) > 3 and not local.isalpha() else "")
+        names.add(local if len(local) > SHORT_NAME and not local.isalpha() else "")
         out.append((a, b, kind + 1, _bits(part, d, text[a - 1 : a], False), _hash(d or local), _hash(d[-LAST:] if len(d) > LAST and kind > 1 else "")))
         taken.append((a, b))
     free = [(m.start(), m.end(), False) for m in NUMBER.finditer(text)]
-    low = text.lower()
-    for name in sorted(names - {""}) if len(low) == len(text) else ():
-        at = low.find(name)
-        while at >= 0:
-            end = at + len(name)
-            if not (at and low[at - 1] in LOCAL) and not (end < len(low) and (low[end] in LOCAL or low[end] == "@")):
-                free.append((at, end, True))
-            at = low.find(name, end)
+    if names - {""}:
+        free += [(m.start(), m.end(), True) for m in NAME.finditer(text) if m[0].lower() in names]
     taken.sort()
     starts = np.array([a for a, _ in taken])
     ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.array([])
@@ -269,13 +269,13 @@ class Field:
 
 def train(found: DataFrame, key: str = "doc_id") -> Field:
     field = Field()
-    some = found.where(F.size("nodes") > 0)
-    n = some.count()
+    some = found.where(F.size("nodes") > 0).select(F.slice("nodes", 1, SAMPLE_NODES).alias("nodes"), F.xxhash64(F.lit(10), key, "nodes").alias("h"))
+    n = some.agg(F.approx_count_distinct("h").alias("n")).first().n
     if n:
-        every = -(-n // SAMPLE)
-        rows = some.where(F.pmod(F.xxhash64(F.lit(10), key), F.lit(every)) == 0).select("nodes").toArrow()
-        if rows.num_rows:
-            field.fit(Graph(rows.column(0).combine_chunks()))
+        # about twice as many rows as wanted are dealt by hash and sorted; repeated rows count once
+        share = F.pmod("h", F.lit(1 << 20)) < int(min(1.0, 2 * SAMPLE / n) * (1 << 20)) + 1
+        rows = some.where(share).groupBy("h").agg(F.first("nodes").alias("nodes")).orderBy("h").limit(SAMPLE)
+        field.fit(Graph(rows.select("nodes").toArrow().column(0).combine_chunks()))
     return field
 
 

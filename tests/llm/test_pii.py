@@ -98,3 +98,40 @@ def test_odd_rows(odd, empty):
     none = hashlib.sha256(b"").hexdigest()
     assert len(got) == 11 and all(r.base_sha256 == none and r.spans == "" for r in got)
     assert P.personal_data(empty).count() == 0
+
+
+def test_long_runs_of_digits():
+    for zeros in (3, 5000, 100_000):
+        text = "0" * zeros + ".1.1.1 and 1.2.3." + "0" * zeros + "255 or 1.2.3." + "9" * zeros
+        n = zeros + 6
+        assert [(a, k) for a, k, _ in P.base_spans(text) if k == 1] == [(0, 1), (n + 5, 1)]
+
+
+def test_names_beside_letters_that_grow_in_lower_case(docs):
+    out = by_id(P.personal_data(docs([(1, "\u0130 mail jo.99@host.example.com, later JO.99 and jo.99x or x@jo.99", "a")])))[1]
+    at = "\u0130 mail jo.99@host.example.com, later ".__len__()
+    found = {(n[0], n[1]) for n in P.nodes("\u0130 mail jo.99@host.example.com, later JO.99 and jo.99x or x@jo.99")}
+    assert (at, at + 5) in found and out.n_email == 2
+
+
+def test_names_are_found_in_linear_time():
+    import time
+
+    def took(n):
+        text = " ".join(f"u{i}.x@h.example u{i}.x" for i in range(n))
+        t = time.process_time()
+        assert len(P.nodes(text)) == 2 * n
+        return time.process_time() - t
+
+    assert took(8000) < 8 * took(2000) + 0.1
+
+
+def test_sample_is_bounded_with_repeated_ids(docs, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE", 50)
+    monkeypatch.setattr(P, "SAMPLE_NODES", 3)
+    seen = []
+    fit = P.Field.fit
+    monkeypatch.setattr(P.Field, "fit", lambda self, g, rounds=200: (seen.append(g), fit(self, g, rounds))[1])
+    texts = [f"call +1 200 555 {1000 + i} or {i} 10.0.0.{i % 250} and 10.1.1.{i % 250} or a{i}.b@c.example" for i in range(900)]
+    P.train(P.find_nodes(docs([(7 if i % 3 else i, t, "a") for i, t in enumerate(texts)] + [(1, texts[0], "a")] * 600)))
+    assert len(seen[0].count) <= 50 and seen[0].count.max() <= 3 and len(seen[0].count) >= 25
