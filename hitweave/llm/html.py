@@ -9,8 +9,8 @@ footers, sidebars, notices, adverts, forms, comments and hidden elements are lef
 or id not if they hold an article or most of the page's text outside links (comments: all of it). Where no block is long
 enough for points, an article's words or else all text outside the left-out parts are kept.
 
-Defined cases: null and empty pages, pages without text outside the left-out parts, and text without any element give an
-empty text; a character reference without a semicolon or a tag cut by the page's end are read as far as they go; repeated pages give
+Defined cases: null and empty pages and pages without text outside the left-out parts give an empty text, text without any
+element is kept whole; a character reference without a semicolon or a tag cut by the page's end are read as far as they go; repeated pages give
 equal results; an empty table gives an empty result.
 """
 
@@ -69,9 +69,9 @@ class Node:
         self.text = self.links = 0
 
 
-def _left_out(tag: str, attributes: str, inside: set[str]) -> tuple[bool, frozenset[str]]:
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, frozenset[str]]:
     """Whether an element is left out for what it is, and the parts left out that its class or id names."""
-    if tag in LEFT_OUT or tag == "header" and not inside & {"article", "main"}:
+    if tag in LEFT_OUT or tag == "header" and not in_article:
         return True, frozenset()
     if not attributes.strip(" /\n") or tag in PROTECTED:
         return False, frozenset()
@@ -114,9 +114,15 @@ def _leave_out_named(root: Node) -> None:
 def parse(page: str) -> Node:
     root = Node("#", None)
     stack = [root]
+    places: dict[str, list[int]] = {}  # where the open elements of a tag are in the stack
+    scopes = [0]
     at = 0
 
     def close(to: int) -> None:
+        for x in reversed(stack[to:]):
+            places[x.tag].pop()
+            if x.tag in SCOPES:
+                scopes.pop()
         del stack[to:]
 
     def say(text: str) -> None:
@@ -130,10 +136,8 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW:
             if not m[0].endswith("/>"):
@@ -142,18 +146,18 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCK or tag in ENDS:
             over = ENDS.get(tag, frozenset()) | ({"p"} if tag in BLOCK else frozenset())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in over:
-                    close(i)
-                    if stack[-1].tag not in over:
-                        break
-                elif stack[i].tag in SCOPES:
+            while (i := max((places[t][-1] for t in over if places.get(t)), default=0)) and i >= scopes[-1]:
+                close(i)
+                if stack[-1].tag not in over:
                     break
         parent = stack[-1]
-        out, named = _left_out(tag, m[3] or m[6] or "", {x.tag for x in stack})
+        out, named = _left_out(tag, m[3] or m[6] or "", bool(places.get("article") or places.get("main")))
         node = Node(tag, parent, parent.out or out, named)
         parent.parts.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(node)
     say(page[at:])
     _leave_out_named(root)
@@ -177,22 +181,25 @@ def _walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
 
 def _score(root: Node) -> list[Node]:
     """Give all elements their points; returns those that have some."""
-    nodes, depth_of_link, where = [], 0, [root]
+    nodes, depth_of_link, where, blocks = [], 0, [root], [root]
     own: dict[Node, list[int]] = {}
     for x, after in _walk(root):
         if isinstance(x, str):
             size = len(x.strip())
             where[-1].text += size
             where[-1].links += size if depth_of_link else 0
-            block = next(n for n in reversed(where) if n.tag in BLOCK or n is root)
-            o = own.setdefault(block, [0, 0])
+            o = own.setdefault(blocks[-1], [0, 0])
             o[0] += size
             o[1] += sum(x.count(c) for c in COMMAS)
         elif not after:
             where.append(x)
+            if x.tag in BLOCK:
+                blocks.append(x)
             depth_of_link += x.tag == "a"
         else:
             where.pop()
+            if x.tag in BLOCK:
+                blocks.pop()
             depth_of_link -= x.tag == "a"
             nodes.append(x)
             if x.parent is not None and x is not root:
@@ -259,8 +266,8 @@ def main_text(page: str | None) -> str:
 
 
 def _rest(root: Node) -> str:
-    """All text of a page but the left-out parts; text without any element is no page."""
-    return " ".join(b for b in _blocks(root) if b) if any(isinstance(p, Node) for p in root.parts) else ""
+    """All text of a page but the left-out parts."""
+    return " ".join(b for b in _blocks(root) if b)
 
 
 def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ CASES = [
     (f"<div><div><a href=1>{LONG}</a> <a href=2>{LONG}</a></div></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
     (f"<article><p>{LONG}</p><p title='a > b'>q</p><p title=\"x>q<b</p>", LONG + " q q"),
     (f"<article><table><tr><td>c1<td>c2<tr><td>c3</table><p>a <b>b</b>c\n\t d</p><p>{LONG}", f"c1 c2 c3 a bc d {LONG}"),
-    ("", ""), (None, ""), ("plain", ""), ("<article></article>", ""), ("<article><h1>Short</h1><p>few</p>", "Short few"),
+    ("", ""), (None, ""), ("plain &amp;\n text", "plain & text"), ("<article></article>", ""), ("<article><h1>Short</h1><p>few</p>", "Short few"),
     ("<nav><ul><li><a href=a>x</a></ul></nav><footer>y</footer>", ""),
 ]
 
@@ -32,11 +32,21 @@ def test_siblings_that_score_are_kept():
     assert main_text(f"<body><div><div class=sidebar>{part}</div>{part}{part}</div>") == " ".join([LONG] * 4)
 
 
-def test_odd_markup_is_linear():
-    for bad in ("<p a='" * 20000, "<" * 50000, "<div>" * 20000 + "x", "</p>" * 50000, "<a b=\"c" * 10000, "&" * 50000, "<script>" * 5000):
-        t = time.time()
-        main_text(bad)
-        assert time.time() - t < 20
+ODD = ("<p a='", "<", "<div>", "</p>", "<a b=\"c", "&", "<script>", "<b>|</i>", "<i><b>|</u>", "<b>|<h1>x</h1>", "<li><ul><b>|<li></li>", "<p><b>|<h2>", "<div>a|</span>", "<table><tr>|<td>x")
+
+
+@pytest.mark.parametrize("markup", ODD)
+def test_odd_markup_is_linear(markup):
+    """Four times the markup takes at most about four times as long."""
+
+    def took(n):
+        page = "".join(part * n for part in markup.split("|")) + "x"
+        t = time.process_time()
+        main_text(page)
+        return time.process_time() - t
+
+    main_text("<p>warm")
+    assert min(took(20000) for _ in range(2)) < 8 * min(took(5000) for _ in range(3)) + 0.05
 
 
 def test_table_of_pages(spark):
