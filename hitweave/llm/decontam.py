@@ -13,9 +13,11 @@ its answer must occur there to a share of ``OVERLAP`` each. The first sentence o
 answer; an item of one sentence has a question only.
 
 The index is sent to all tasks, so its size is checked: items are split by hash into as many indexes as their bytes
-need (``INDEX_BYTES`` each), and documents are read once for each of them.
+need, one that is built larger than ``INDEX_BYTES`` is halved, and documents are read once for each of them. An index is
+a few flat arrays, so tasks hold about as much as its bytes.
 
-Defined cases: null and empty items are never found, null and empty documents hold nothing; equal items are each found;
+Defined cases: null and empty items are never found, null and empty documents hold nothing; an item of fewer than ``GRAM``
+words is found where its words stand together in order, so one of a single word in every document with this word; equal items are each found;
 upper and lower case are equal for all letters; repeated documents give equal rows; empty tables give empty results.
 """
 
@@ -44,7 +46,9 @@ OVERLAP = 0.6
 POSTING_BLOCK = 32
 STRIPES = 64
 STRIPE_LEAST = 4
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 128 << 20
+#: bytes of an index for a byte of text, about
+GROWTH = 8
 _SENTENCE = re.compile(r".*?[.!?。](?=\s|$)", re.S)
 
 
@@ -64,22 +68,40 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Posting:
-    items: list[int]
-    scores: list[float]
+    items: np.ndarray
+    scores: np.ndarray
     most: float
-    block_most: list[float]
-    block_last: list[int]
+    block_most: np.ndarray
+    block_last: np.ndarray
+
+
+@dataclass
+class Lists:
+    """Lists of equal fields, end to end in arrays; ``first[i]:first[i + 1]`` is list ``i``."""
+
+    first: np.ndarray
+    values: list[np.ndarray]
+
+    def of(self, i: int) -> list[np.ndarray]:
+        return [v[self.first[i] : self.first[i + 1]] for v in self.values]
+
+
+def _lists(owner: np.ndarray, n: int, *values: np.ndarray) -> Lists:
+    """Lists from sorted owners."""
+    return Lists(np.searchsorted(owner, np.arange(n + 1)), list(values))
 
 
 class Index:
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    """Postings, their block maxima, range maxima and the items' runs, in a few flat arrays."""
+
+    def __init__(self, ids: pa.Array | list, texts: list[str | None]):
         order = np.argsort([len((t or "").split()) for t in texts], kind="stable").tolist()
-        ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.ids = (pa.array(ids) if isinstance(ids, list) else ids).take(pa.array(order, pa.int64()))
+        texts = [texts[i] for i in order]
         parts = [question_and_answer(t or "") for t in texts]
         w = lower_words(pa.array([t or "" for t in texts], pa.string()))
-        self.ids = ids
         self.length = w.counts()
-        n, owner = len(ids), w.owner()
+        n, owner = len(texts), w.owner()
         self.terms, term = np.unique(w.hash, return_inverse=True)
         pair, tf = np.unique(term * max(n, 1) + owner, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
@@ -91,25 +113,36 @@ class Index:
         score = score / np.maximum(own[item], 1e-9)
         self.most = np.zeros(len(self.terms))
         np.maximum.at(self.most, term, score)
+        self.postings = _lists(term, len(self.terms), item.astype(np.int32), score)
+        # blocks begin anew with each list
+        place = np.arange(len(term)) - self.postings.first[term]
+        begin = np.flatnonzero(place % POSTING_BLOCK == 0)
+        end = np.append(begin[1:], len(term)) if len(begin) else begin
+        most = np.maximum.reduceat(score, begin) if len(begin) else score
+        self.blocks = _lists(term[begin], len(self.terms), most, item[end - 1].astype(np.int32))
+        # maxima in ranges of items, where a list has any
         wide = max(STRIPE_LEAST, -(-n // STRIPES))
-        self.stripes = np.zeros((len(self.terms), max(1, -(-n // wide))), np.float32)
-        np.maximum.at(self.stripes, (term, item // wide), score.astype(np.float32) * np.float32(1 + 1e-6))
-        self.postings: list[Posting] = []
-        for part in np.split(np.arange(len(term)), np.searchsorted(term, np.arange(1, len(self.terms)))) if len(term) else []:
-            i, s = item[part].tolist(), score[part].tolist()
-            cuts = range(0, len(i), POSTING_BLOCK)
-            self.postings.append(
-                Posting(i, s, max(s), [max(s[c : c + POSTING_BLOCK]) for c in cuts], [i[min(c + POSTING_BLOCK, len(i)) - 1] for c in cuts])
-            )
-        self.grams = []
+        self.n_stripes = max(1, -(-n // wide))
+        cell, at = np.unique(term * self.n_stripes + item // wide, return_index=True)
+        best = np.maximum.reduceat(score, at).astype(np.float32) * np.float32(1 + 1e-6) if len(at) else score.astype(np.float32)
+        self.stripes = _lists(cell // self.n_stripes, len(self.terms), (cell % self.n_stripes).astype(np.uint8), best)
+        # runs of GRAM words of question and answer; of all its words, if an item has fewer
+        self.grams, self.gram = [], []
         for side in (0, 1):
             ws = lower_words(pa.array([p[side] for p in parts], pa.string()))
             h, of, _ = shingles(ws, GRAM)
-            self.grams.append([np.unique(x) for x in np.split(h, np.searchsorted(of, np.arange(1, n)))] if n else [])
+            unique = np.unique(np.rec.fromarrays([of, h])) if len(h) else np.rec.fromarrays([of, h])
+            self.grams.append(_lists(unique.f0, n, unique.f1.copy()))
+            self.gram.append(np.clip(ws.counts(), 1, GRAM))
+
+    def nbytes(self) -> int:
+        lists = [self.postings, self.blocks, self.stripes, *self.grams]
+        arrays = [self.terms, self.most, self.length, *self.gram, *(x.first for x in lists), *(v for x in lists for v in x.values)]
+        return sum(a.nbytes for a in arrays) + self.ids.nbytes
 
     def find(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Items whose score for the distinct query terms is ``least`` or more, by block-max WAND."""
-        lists = [self.postings[t] for t in terms]
+        lists = [Posting(*self.postings.of(t), float(self.most[t]), *self.blocks.of(t)) for t in terms]
         at = [0] * len(lists)
         live = list(range(len(lists)))
         found = []
@@ -123,20 +156,20 @@ class Index:
                     break
             if pivot < 0:
                 return found
-            item = lists[live[pivot]].items[at[live[pivot]]]
+            item = int(lists[live[pivot]].items[at[live[pivot]]])
             while pivot + 1 < len(live) and lists[live[pivot + 1]].items[at[live[pivot + 1]]] == item:
                 pivot += 1
-            bound, stop = 0.0, lists[live[pivot + 1]].items[at[live[pivot + 1]]] if pivot + 1 < len(live) else len(self.ids)
+            bound, stop = 0.0, int(lists[live[pivot + 1]].items[at[live[pivot + 1]]]) if pivot + 1 < len(live) else len(self.ids)
             for x in live[: pivot + 1]:
                 p = lists[x]
                 b = bisect_left(p.block_last, item, at[x] // POSTING_BLOCK)
                 if b < len(p.block_last):
-                    bound += p.block_most[b]
-                    stop = min(stop, p.block_last[b] + 1)
+                    bound += float(p.block_most[b])
+                    stop = min(stop, int(p.block_last[b]) + 1)
             if bound < least:
                 to = max(stop, item + 1)  # no item before it can reach the threshold
             elif lists[live[0]].items[at[live[0]]] == item:
-                score = sum(lists[x].scores[at[x]] for x in live[: pivot + 1])
+                score = sum(float(lists[x].scores[at[x]]) for x in live[: pivot + 1])
                 if score >= least:
                     found.append((item, score))
                 to = item + 1
@@ -148,6 +181,16 @@ class Index:
         return found
 
 
+def _range_bounds(index: Index, term: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """For each passage the largest sum of its terms' maxima in one range of items."""
+    begin, size = index.stripes.first[term], np.diff(index.stripes.first)[term]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    stripe, most = index.stripes.values
+    cell = np.repeat(passage, size) * index.n_stripes + stripe[at]
+    n = int(passage[-1]) + 1
+    return np.bincount(cell, most[at], n * index.n_stripes).reshape(n, -1).max(axis=1)
+
+
 def _passages(w: Words, index: Index, least: float) -> Iterator[tuple[int, int, list[int]]]:
     """Text, first word and distinct index terms of each passage whose list maxima reach the threshold."""
     if not len(index.terms) or not len(w.hash):
@@ -176,7 +219,7 @@ def _passages(w: Words, index: Index, least: float) -> Iterator[tuple[int, int,
     first = np.flatnonzero(np.diff(passage, prepend=-1))
     for at in range(0, len(first), 4096):
         a, b = first[at], first[at + 4096] if at + 4096 < len(first) else len(passage)
-        bound = np.add.reduceat(index.stripes[term[a:b]], first[at : at + 4096] - a, axis=0).max(axis=1)
+        bound = _range_bounds(index, term[a:b], np.searchsorted(first[at : at + 4096], np.arange(a, b), "right") - 1)
         for k in (np.flatnonzero(bound >= least * (1 - 1e-5)) + at).tolist():
             a, b = first[k], first[k + 1] if k + 1 < len(first) else len(passage)
             p = int(passage[a])
@@ -196,21 +239,31 @@ def matches(column: pa.Array, index: Index, least: float = THRESHOLD, overlap: f
             a, b = w.first[text], w.first[text + 1]
             a, b = max(a, a + start - length), min(b, a + start + PASSAGE + length)
             here = Words(np.array([0, b - a]), w.start[a:b], w.end[a:b], w.hash[a:b], w.data, w.offsets[:2])
-            grams = shingles(here, GRAM)[0]
-            question, answer = (np.isin(g[item], grams).mean() if len(g[item]) else 1.0 for g in index.grams)
+            shares = []
+            for own, size in zip(index.grams, index.gram, strict=True):
+                g = own.of(item)[0]
+                shares.append(float(np.isin(g, shingles(here, int(size[item]))[0]).mean()) if len(g) else 1.0)
+            question, answer = shares
             if question >= overlap and answer >= overlap:
-                found[text, item] = (score, float(question), float(answer), start)
+                found[text, item] = (score, question, answer, start)
     return [(*k, *v) for k, v in sorted(found.items())]
 
 
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of all items, each of about ``most`` bytes of text."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
-    parts = -(-size // most) or 1
+    """Indexes of all items, each of at most ``most`` bytes as built, or of one item."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0)).alias("n")).first().n
+    parts = -(-size // max(1, most // GROWTH)) or 1
     rows = items.select(key, text, F.pmod(F.xxhash64(key, text), F.lit(parts)).alias("part"))
     for p in range(parts):
-        got = rows.where(F.col("part") == p).toArrow()
-        yield Index(got.column(0).to_pylist(), got.column(1).to_pylist())
+        got = rows.where(F.col("part") == p).toArrow()  # about most // GROWTH bytes
+        todo = [got]
+        while todo:
+            t = todo.pop()
+            index = Index(t.column(0).combine_chunks(), t.column(1).to_pylist())
+            if index.nbytes() <= most or t.num_rows < 2:
+                yield index
+            else:
+                todo += [t.slice(0, t.num_rows // 2), t.slice(t.num_rows // 2)]
 
 
 PAIR = "score double, question_overlap double, answer_overlap double, first_word long"
@@ -218,7 +271,7 @@ PAIR = "score double, question_overlap double, answer_overlap double, first_word
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", most: int = INDEX_BYTES) -> DataFrame:
     """``doc_id, item_id`` and measures of every document that holds an item."""
-    kinds = docs.schema[key].dataType.simpleString()
+    kinds, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     out = None
     for index in indexes(items, most=most):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -229,10 +282,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
                 rows = matches(batch.column(1), sent.value)
                 if rows:
                     at, item, *values = zip(*rows, strict=True)
-                    ids = pa.array([sent.value.ids[i] for i in item], pa.int64())
+                    ids = sent.value.ids.take(pa.array(item))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids, *map(pa.array, values)], names)
 
-        part = docs.select(key, text).mapInArrow(run, f"`{key}` {kinds}, item_id long, {PAIR}")
+        part = docs.select(key, text).mapInArrow(run, f"`{key}` {kinds}, item_id {item_kind}, {PAIR}")
         out = part if out is None else out.unionByName(part)
     return out
 
