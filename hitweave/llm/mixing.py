@@ -10,9 +10,13 @@ A source's order is never sorted in one task: words are first summed in ``BINS``
 only the bin in which the target lies is ranked by row. The result of the search is one threshold for each source and
 class, so texts are not shuffled and taking a document is a comparison in its own row.
 
+Repeated rows (same id, text and source) would have equal ranks and be taken or left together. Groups that hold more than a
+``HEAVY``-th of their source's words are numbered, so that each row has a rank of its own: within tasks first, then by the
+rows that the tasks before have, so no group meets in one task. Only rows of such groups are shuffled for that.
+
 Defined cases: null texts have no words and are taken whole copies only; a null source is a source of its own, last in
-order; repeated rows (same id and text) have equal ranks and are taken or left together; sources without words have
-target 0; empty tables give empty results.
+order; of repeated rows of a heavy group as many are taken as the mix needs, of lighter groups all or none; sources
+without words have target 0; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ SHARE = 1.5
 MOST = 2.0
 LONG = 0.02
 BINS = 4096
+HEAVY = 200
 
 
 def word_count(text: str | Column) -> Column:
@@ -57,12 +62,43 @@ def allot(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: t
     return s.select("source", "source_size", target.alias("target"))
 
 
-def chance(key: str, text: str, seed: int) -> Column:
-    """A uniform number in (0, 1) that depends on the document and the seed alone."""
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+def group_of(key: str, text: str, seed: int) -> Column:
+    """Hash of what makes rows equal for the mix."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col("source"))
+
+
+def chance(group: Column, copy: Column) -> Column:
+    """A uniform number in (0, 1) that depends on the row's group and its number there alone."""
+    h = F.xxhash64(group, copy)
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def heavy_groups(small: DataFrame, sizes: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """``group`` of the repeated rows that hold more than a ``heavy``-th of their source's words: ``heavy`` for a source at most."""
+    groups = small.groupBy("source", "group").agg(F.count("*").alias("n"), F.sum("size").alias("words")).where("n > 1")
+    return _match(groups, sizes).where(F.col("words") * heavy > F.col("source_size")).select("group")
+
+
+def number_copies(rows: DataFrame, group: str, part: str, out: str) -> DataFrame:
+    """Add ``out``: 0, 1, 2... for the rows of each group. ``part`` tells in which task a row lies."""
+    x = unused_prefix(rows)
+    here = rows.withColumn(f"{x}r", F.row_number().over(Window.partitionBy(group, part).orderBy(F.lit(0))) - 1)
+    tasks = rows.groupBy(group, part).agg(F.count("*").alias(f"{x}n"))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    tasks = tasks.select(group, part, F.coalesce(F.sum(f"{x}n").over(before), F.lit(0)).alias(f"{x}before"))
+    both = here.join(tasks, [group, part])
+    return both.withColumn(out, (F.col(f"{x}r") + F.col(f"{x}before")).cast("long")).drop(f"{x}r", f"{x}before")
+
+
+def with_copies(rows: DataFrame, heavy: DataFrame, group: str, part: str, out: str) -> DataFrame:
+    """Add ``out``: the number of a row in its group if that is heavy, else 0. ``heavy`` is stored."""
+    if heavy.isEmpty():
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    many = heavy.select(F.col("group").alias(group))
+    light = rows.join(many, group, "left_anti").withColumn(out, F.lit(0).cast("long"))
+    return light.unionByName(number_copies(rows.join(many, group, "left_semi"), group, part, out))
+
+
 def pareto_rank(u: Column, f: Column) -> Column:
     """Random odds over inclusion odds, as ``q / (1 + q)``; 1 where nothing is to be drawn."""
     q = u / (1 - u) * (1 - f) / f
@@ -134,13 +170,19 @@ def plan(small: DataFrame, targets: DataFrame, long: float = LONG, bins: int = B
 
 def mix_plan(
     docs: DataFrame, seed: int = 5, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, long: float = LONG
-) -> tuple[DataFrame, DataFrame]:
-    """Small columns of the documents, and the thresholds, both stored in the shared folder."""
-    u = chance("doc_id", "text", seed)
-    small = write_table(docs.select("doc_id", "source", word_count("text").alias("size"), u.alias("u")), "mix-sizes")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Small columns of the documents, the thresholds, and the heavy groups."""
+    size = word_count("text").alias("size")
+    small = docs.select("doc_id", "source", size, group_of("doc_id", "text", seed).alias("group"), F.spark_partition_id().alias("part"))
+    small = write_table(small, "mix-sizes")
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = write_table(allot(sizes, share, most, weights), "mix-targets")
-    return small, write_table(plan(small, targets, long), "mix-plan")
+    heavy = write_table(heavy_groups(small, targets), "mix-heavy")
+    small = with_copies(small, heavy, "group", "part", "copy")
+    small = small.select("doc_id", "source", "size", chance(F.col("group"), F.col("copy")).alias("u"))
+    if not heavy.isEmpty():
+        small = write_table(small, "mix-numbered")
+    return small, write_table(plan(small, targets, long), "mix-plan"), heavy
 
 
 def copies_taken(p: str = "") -> Column:
@@ -154,16 +196,18 @@ def copies_taken(p: str = "") -> Column:
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of every document."""
-    small, p = mix_plan(docs, **options)
+    small, p, _ = mix_plan(docs, **options)
     d = _match(small, p).withColumn("copies", copies_taken())
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 def mix_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken."""
-    _, p = mix_plan(docs, seed=seed, **options)
+    _, p, heavy = mix_plan(docs, seed=seed, **options)
     x = unused_prefix(docs)
-    d = _match(docs, p.select("source", *[F.col(c).alias(x + c) for c in p.columns if c != "source"]))
-    d = d.withColumn(f"{x}size", word_count("text")).withColumn(f"{x}u", chance("doc_id", "text", seed))
+    d = docs.withColumn(f"{x}group", group_of("doc_id", "text", seed)).withColumn(f"{x}part", F.spark_partition_id())
+    d = with_copies(d, heavy, f"{x}group", f"{x}part", f"{x}of")
+    d = _match(d, p.select("source", *[F.col(c).alias(x + c) for c in p.columns if c != "source"]))
+    d = d.withColumn(f"{x}size", word_count("text")).withColumn(f"{x}u", chance(F.col(f"{x}group"), F.col(f"{x}of")))
     d = d.withColumn(f"{x}n", copies_taken(x)).where(F.col(f"{x}n") > 0)
     return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{x}n"))).alias(f"{x}copy")).drop(f"{x}copy")

@@ -4,10 +4,14 @@ Records are hashed into thousands of slots, whose number never changes. A small
 shards. Version 0 deals the slots round; an edit moves some slots from full shards to empty ones so that the
 bytes of all shards are near equal; growing moves slots into the new shard only. Records never move between slots.
 
+A record's slot is a hash of its id and text. Repeated rows would share a slot: those of a group that holds more than a
+``HEAVY``-th of a shard's bytes are hashed by row number as well. Such groups are few (``HEAVY`` for each shard at most), so
+they are found by one aggregation and sent to the tasks.
+
 Slot tables have ``slots`` rows at most, so folding them in one row is bounded. Nothing else is gathered.
 
-Defined cases: a null text has no bytes; a record with null id is hashed by its text; repeated rows are placed each;
-empty tables give empty results and a map with no bytes.
+Defined cases: a null text has no bytes; a record with null id is hashed by its text; repeated rows are placed each, and
+any of them may be in any place of the group; empty tables give empty results and a map with no bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from hitweave.session import write_table
 
 SLOTS = 4096
 SEED = "slot"
+HEAVY = 200
 
 
 def text_bytes(text: str | Column) -> Column:
@@ -27,11 +32,24 @@ def text_bytes(text: str | Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def slot_of(key: str, text: str, slots: int = SLOTS) -> Column:
-    """Slot of a record, by its id alone unless that is null."""
-    k = F.col(key)
-    by = F.when(k.isNull(), F.xxhash64(F.lit(SEED), F.col(text))).otherwise(F.xxhash64(F.lit(SEED), k))
-    return F.pmod(by, F.lit(slots)).cast("int")
+def record_hash(key: str, text: str) -> Column:
+    """Hash of a record's id and text."""
+    return F.xxhash64(F.lit(SEED), F.col(key), F.col(text))
+
+
+def slot_of(record: Column, row: Column, spread: Column, slots: int = SLOTS) -> Column:
+    """Slot of a record by its hash, and by its row number where ``spread`` holds."""
+    return F.pmod(F.when(spread, F.xxhash64(record, row)).otherwise(record), F.lit(slots)).cast("int")
+
+
+def heavy_groups(records: DataFrame, shards: int, heavy: int = HEAVY) -> DataFrame:
+    """``record`` of the repeated rows that hold more than a ``heavy``-th of a shard's bytes: ``heavy * shards`` rows at most.
+
+    ``records`` has ``record, size``.
+    """
+    total = records.agg(F.sum("size").alias("total"))
+    groups = records.groupBy("record").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    return groups.join(F.broadcast(total), F.lit(True)).where(F.col("bytes") * (heavy * shards) > F.col("total")).select("record")
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -91,8 +109,19 @@ def grow(slot_map: DataFrame, stats: DataFrame, shards: int, version: int) -> Da
     return m.select(F.lit(version).alias("version"), "virtual_slot", F.when(gone, shards).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
-def with_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    return docs.withColumn("virtual_slot", slot_of(key, text, slots)).withColumn("size", text_bytes(text))
+def small_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, size, text_crc32, record, row`` of all documents, stored in the shared folder."""
+    crc = F.crc32(F.coalesce(F.encode(text, "utf-8"), F.lit(b""))).alias("text_crc32")
+    d = docs.select(key, text_bytes(text).alias("size"), crc, record_hash(key, text).alias("record"), F.monotonically_increasing_id().alias("row"))
+    return write_table(d, "sizes")
+
+
+def with_slots(records: DataFrame, heavy: DataFrame, slots: int = SLOTS, record: str = "record", row: str = "row") -> DataFrame:
+    """The records and their ``virtual_slot``. ``heavy`` is of bounded size."""
+    x = unused_prefix(records)
+    h = F.broadcast(heavy.select(F.col("record").alias(f"{x}heavy")))
+    d = records.join(h, F.col(record) == F.col(f"{x}heavy"), "left")
+    return d.withColumn("virtual_slot", slot_of(F.col(record), F.col(row), F.col(f"{x}heavy").isNotNull(), slots)).drop(f"{x}heavy")
 
 
 def balanced_map(records: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -102,15 +131,41 @@ def balanced_map(records: DataFrame, shards: int, slots: int = SLOTS) -> DataFra
     return write_table(v0.unionByName(rebalance(v0, stats, shards, 1)), "slot-map")
 
 
+def edit_map(path: str, records: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Add a version to the map that is kept below ``path``, and return that version.
+
+    The first call deals the slots round (version 0) and balances them; each later one starts from the last version, grows it
+    to ``shards`` where it has fewer, and balances it by the bytes of these records. Earlier versions stay. One writer at a
+    time.
+    """
+    spark = records.sparkSession
+    stats = write_table(slot_bytes(records.select("virtual_slot", "size"), slots), "slot-bytes")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(path)
+        version = known.agg(F.max("version")).first()[0]
+        last = known.where(F.col("version") == version).select("virtual_slot", F.col("shard").cast("int").alias("shard"))
+        there = last.agg(F.max("shard")).first()[0] + 1
+        if there > shards:
+            raise ValueError(f"the map has {there} shards already")
+    else:
+        first_map(stats, shards).write.partitionBy("version").parquet(path)
+        version, there, last = 0, shards, first_map(stats, shards).select("virtual_slot", "shard")
+    for more in range(there, shards):
+        last = grow(last, stats, more, version + 1).select("virtual_slot", "shard")
+    new = write_table(rebalance(last, stats, shards, version + 1), "slot-map")
+    new.write.mode("append").partitionBy("version").parquet(path)
+    return new
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Placement of every document: ``doc_id, size, text_crc32, shard, slot, virtual_slot, map_version``.
 
     ``slot`` counts a shard's documents from 0 without gaps, by virtual slot and id: ranks within a virtual slot
     plus the rows of the shard's slots before it, so no task holds more than one virtual slot.
     """
-    d = with_slots(docs.select("doc_id", "text"), slots=slots)
-    crc = F.crc32(F.coalesce(F.encode("text", "utf-8"), F.lit(b""))).alias("text_crc32")
-    small = write_table(d.select("doc_id", "size", crc, "virtual_slot"), "sizes")
+    small = small_records(docs)
+    small = with_slots(small, write_table(heavy_groups(small, shards), "heavy"), slots)
     m = balanced_map(small, shards, slots).where("version = 1")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     rows = small.groupBy("virtual_slot").agg(F.count("*").alias("n"))
@@ -126,13 +181,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
 
 
 def add_shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """The documents with their ``shard``; texts are not shuffled, only the map is sent to them.
+    """The documents with their ``shard``; texts are not shuffled, only the map and the heavy groups are sent to them.
 
     A column ``shard`` that the documents have is replaced.
     """
-    sizes = with_slots(docs.select("doc_id", "text"), slots=slots).select("virtual_slot", "size")
+    small = small_records(docs)
+    heavy = write_table(heavy_groups(small, shards), "heavy")
     p = unused_prefix(docs)
-    m = balanced_map(sizes, shards, slots).where("version = 1").select(F.col("virtual_slot").alias(f"{p}slot"), F.col("shard").alias(f"{p}shard"))
-    d = docs.withColumn(f"{p}slot", slot_of("doc_id", "text", slots)).join(F.broadcast(m), f"{p}slot")
+    m = balanced_map(with_slots(small, heavy, slots), shards, slots).where("version = 1")
+    m = m.select(F.col("virtual_slot").alias(f"{p}slot"), F.col("shard").alias(f"{p}shard"))
+    d = docs.withColumn(f"{p}record", record_hash("doc_id", "text")).withColumn(f"{p}row", F.monotonically_increasing_id())
     keep = [c for c in docs.columns if c != "shard"]
+    # a column of that name that the documents have is put aside
+    d = with_slots(d.withColumnRenamed("virtual_slot", f"{p}kept"), heavy, slots, f"{p}record", f"{p}row")
+    d = d.withColumnRenamed("virtual_slot", f"{p}slot").withColumnRenamed(f"{p}kept", "virtual_slot")
+    d = d.join(F.broadcast(m), f"{p}slot")
     return d.select(*keep, F.col(f"{p}shard").alias("shard"))

@@ -82,7 +82,30 @@ def test_documents_follow_the_counts_and_reruns_agree(docs):
 def test_odd_rows(odd, empty):
     got = M.mix_counts(odd).collect()
     assert len(got) == 11 and all(r.size == 0 and r.taken == 0 for r in got if r.doc_id in (1, 2, 3))
-    assert len({r.copies for r in got if r.doc_id == 4}) == 1  # repeated rows go together
     M.mix_documents(odd).collect()
     assert M.mix_counts(empty).count() == 0 and M.mix_documents(empty).count() == 0
     assert rows(M.allot(odd.sparkSession.createDataFrame([], "source string, source_size long")), "source") == []
+
+
+def test_repeated_rows_are_taken_as_far_as_the_target(docs):
+    """Equal rows hold a third to nearly all of a source; each source still comes near its target, in both forms."""
+    for parts in (2, 7):
+        rows_ = [(i, "w " * (1 + i % 50), f"s{i % 3}") for i in range(2000)] + [(5, "same words here " * 8, "s0")] * 1000 + [(None, "x y", None)] * 3000
+        d = docs(rows_, parts)
+        got = M.mix_counts(d).collect()
+        assert len(got) == 6000
+        taken, target = defaultdict(int), {}
+        for r in got:
+            taken[r.source_size] += r.taken
+            target[r.source_size] = r.target
+        assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+        out = M.mix_documents(d)
+        assert out.columns == d.columns
+        a = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+        b = defaultdict(int)
+        for r in got:
+            b[r.doc_id] += r.copies
+        assert a == {k: v for k, v in b.items() if v}
+        if parts == 2:
+            first = dict(b)
+    assert first == dict(b)  # however the rows are dealt

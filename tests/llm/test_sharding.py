@@ -11,6 +11,11 @@ def placed(df):
     return got
 
 
+def slotted(df, shards=5):
+    small = S.small_records(df)
+    return S.with_slots(small, S.heavy_groups(small, shards), 256)
+
+
 def test_bytes_are_near_equal_and_slots_gapless(docs):
     d = docs([(i, "x" * ((i * 7919) % 400), f"s{i % 3}") for i in range(4000)])
     got = placed(S.shard_documents(d, 8, 512))
@@ -31,7 +36,7 @@ def test_one_hot_record_and_few_records(docs):
 
 
 def test_map_versions(spark, docs):
-    d = S.with_slots(docs([(i, "x" * (i % 50), "a") for i in range(3000)]), slots=256)
+    d = slotted(docs([(i, "x" * (i % 50), "a") for i in range(3000)]))
     stats = S.slot_bytes(d, 256)
     assert stats.count() == 256
     v0 = S.first_map(stats, 5)
@@ -59,3 +64,52 @@ def test_odd_rows(odd, empty):
     out = S.add_shard(odd)
     assert out.columns == [*(c for c in odd.columns if c != "shard"), "shard"] and out.count() == 11
     assert S.shard_documents(empty).count() == 0 and S.add_shard(empty).count() == 0
+
+
+def near_equal(out, shards, share=0.02):
+    loads = [sum(r.size for r in v) for v in placed(out).values()]
+    assert len(loads) == shards
+    mean = sum(loads) / shards
+    assert max(abs(x - mean) for x in loads) < share * mean
+
+
+def test_repeated_ids_texts_and_rows_are_spread(docs):
+    plain = [(i, "x" * ((i * 7919) % 400), "a") for i in range(2000)]
+    for more in (
+        [(5, "y" * ((i * 31) % 300), "a") for i in range(1000)],  # one id, many texts
+        [(5, "y" * 200, "a")] * 1000,
+        [(None, "the same text " * 10, "a")] * 1000,
+        [(None, None, "a")] * 1000,
+    ):
+        d = docs(plain + more)
+        out = S.shard_documents(d)
+        near_equal(out, 16)
+        for v in placed(out).values():
+            assert sorted(r.slot for r in v) == list(range(len(v)))
+        sizes = S.add_shard(d).select("shard", S.text_bytes("text").alias("size"))
+        near_equal(sizes, 16)
+        assert rows(out, "doc_id", "shard", "slot") == rows(S.shard_documents(d), "doc_id", "shard", "slot")
+
+
+def test_a_kept_map_is_edited(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/map"
+    d = slotted(docs([(i, "x" * (i % 50), "a") for i in range(3000)]))
+    more = slotted(docs([(i, "x" * (i % 70), "a") for i in range(1000, 5000)]))
+    m1, m2, m3 = S.edit_map(path, d, 5, 256), S.edit_map(path, more, 5, 256), S.edit_map(path, more, 6, 256)
+    maps = [{r.virtual_slot: r.shard for r in m.collect()} for m in (m1, m2, m3)]
+    assert [set(m.select("version").distinct().collect()[0]) for m in (m1, m2, m3)] == [{1}, {2}, {3}]
+    assert [r.version for r in spark.read.parquet(path).groupBy("version").count().where("count = 256").orderBy("version").collect()] == [0, 1, 2, 3]
+    assert sum(maps[0][s] == maps[1][s] for s in maps[0]) > 180  # few slots move
+    assert set(maps[2].values()) == set(range(6)) and sum(maps[1][s] == maps[2][s] for s in maps[0]) > 150
+    stats = {r.virtual_slot: r.bytes for r in S.slot_bytes(more, 256).collect()}
+    loads = Counter()
+    for s, k in maps[2].items():
+        loads[k] += stats[s]
+    assert max(loads.values()) < 1.02 * sum(loads.values()) / 6
+
+
+def test_columns_of_clashing_names_stay(docs):
+    d = docs([(i, f"t {i}", "a") for i in range(50)]).withColumnRenamed("_h", "virtual_slot").withColumnRenamed("_n", "row")
+    out = S.add_shard(d)
+    assert out.columns == [*(c for c in d.columns if c != "shard"), "shard"]
+    assert {r.virtual_slot for r in out.collect()} == {"x"}
