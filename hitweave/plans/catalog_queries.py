@@ -87,7 +87,7 @@ def _both(spark, sd):
 
 @query(
     "record_upsert",
-    """WITH rec AS (SELECT vec_id AS id, text, 'src-' || label AS source_name FROM embeddings JOIN documents ON doc_id = vec_id),
+    """WITH rec AS (SELECT doc_id AS id, text, coalesce('src-' || label, source) AS source_name FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
     ch AS (SELECT event_id % 900 AS id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 3 THEN 'delete' ELSE 'update' END AS op,
              CASE WHEN event_id % 9 <> 0 THEN ' ' || event_type || ' ' || event_id || ' ' END AS text FROM events),
     last AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)

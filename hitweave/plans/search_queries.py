@@ -152,7 +152,7 @@ def vec_sql(name: str, chunks: str, k: int) -> str:
     return f"""
     {name} AS (SELECT query_id, vec_id AS k, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS ord
       FROM (SELECT query_id, vec_id, round(greatest(0.0, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS score
-            FROM queries q, {chunks} c) QUALIFY ord <= {k})"""
+            FROM queries q, {chunks} c WHERE c.embedding IS NOT NULL) QUALIFY ord <= {k})"""
 
 
 def fuse_sql(name: str, v: str, b: str, alpha: str, k: int) -> str:

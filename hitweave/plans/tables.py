@@ -62,17 +62,19 @@ MESSAGES_SQL = """messages AS (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with vectors: one per embedding, the label standing for the source document."""
+    """All documents as chunks, with vectors where they have one; the vector's label stands for the source document."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    c = group_rank(e.join(d, "vec_id"), "label", "vec_id", 1 << 16, rank="chunk_index", total="total_chunks")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
+    named = F.coalesce(F.concat(F.lit("src-"), "label"), "source").alias("source_name")
+    every = d.join(e, "vec_id", "left").select("vec_id", named, "text", "embedding")
+    c = group_rank(every, "source_name", "vec_id", 1 << 16, rank="chunk_index", total="total_chunks")
     i, n = F.col("chunk_index"), F.col("total_chunks")
     qna = F.col("vec_id") % 5 == 0
     first = F.regexp_extract("text", r"^[^.!?]*[.!?]", 0)
     return c.select(
         "vec_id",
         F.when(qna, "qna").otherwise("doc").alias("collection"),
-        F.concat(F.lit("src-"), "label").alias("source_name"),
+        "source_name",
         "chunk_index",
         "total_chunks",
         F.when(i > 1, i - 1).alias("prev_chunk_index"),
@@ -88,16 +90,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS_SQL = """corpus AS (
   SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'qna' ELSE 'doc' END AS collection,
-         'src-' || label AS source_name, chunk_index, total_chunks,
+         source_name, chunk_index, total_chunks,
          CASE WHEN chunk_index > 1 THEN chunk_index - 1 END AS prev_chunk_index,
          CASE WHEN chunk_index < total_chunks THEN chunk_index + 1 END AS next_chunk_index, text,
          CASE WHEN chunk_index > 1 AND length(text) > 150 THEN substring(text, 151) ELSE text END
            AS content_without_overlap,
          CASE WHEN vec_id % 5 = 0 THEN regexp_extract(text, '^[^.!?]*[.!?]', 0) END AS question_text, embedding
-  FROM (SELECT vec_id, label, text, embedding,
-               row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT AS chunk_index,
-               count(*) OVER (PARTITION BY label)::INT AS total_chunks
-        FROM embeddings JOIN documents ON doc_id = vec_id))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY vec_id)::INT AS chunk_index,
+               count(*) OVER (PARTITION BY source_name)::INT AS total_chunks
+        FROM (SELECT doc_id AS vec_id, coalesce('src-' || label, source) AS source_name, text, embedding
+              FROM documents LEFT JOIN embeddings ON doc_id = vec_id)))"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,7 @@ HITS_SQL = f"""{CORPUS_SQL}, {QUERIES_SQL}, scored AS (
   SELECT query_id, vec_id,
          round(greatest(0.0, 1 - (1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 9)
            AS score
-  FROM queries q, corpus c),
+  FROM queries q, corpus c WHERE c.embedding IS NOT NULL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS ord FROM scored),
 hits AS (
