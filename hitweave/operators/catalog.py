@@ -33,18 +33,24 @@ def file_catalog(files: DataFrame) -> DataFrame:
     return files.where(F.col("status").isin(1, 2))
 
 
-def catalog_register(events: DataFrame) -> DataFrame:
-    """Upload and finish events -> one row per (file, user): the latest upload, completed by its finish.
-
-    An upload replaces earlier rows (status 1, no counts); a finish sets the counts and status 2.
-    """
+def catalog_state(events: DataFrame) -> DataFrame:
+    """What events tell of each (file, user): its latest upload ``u`` and latest finish ``d``."""
     up = F.col("event") == "upload"
-    last = events.groupBy("filename", "user_id").agg(
+    return events.groupBy("filename", "user_id").agg(
         F.max(F.when(up, F.struct("event_ts", "size", "type", "namespace"))).alias("u"),
         F.max(F.when(~up, F.struct("event_ts", "chunks"))).alias("d"),
     )
+
+
+def merge_catalog(states: DataFrame) -> DataFrame:
+    """One state of several for each (file, user)."""
+    return states.groupBy("filename", "user_id").agg(F.max("u").alias("u"), F.max("d").alias("d"))
+
+
+def catalog_rows(states: DataFrame) -> DataFrame:
+    """The catalog: an upload replaces earlier rows (status 1, no counts); a later finish sets the counts and status 2."""
     done = F.col("d.event_ts") > F.col("u.event_ts")
-    return last.where(F.col("u").isNotNull()).select(
+    return states.where(F.col("u").isNotNull()).select(
         "filename",
         "user_id",
         F.col("u.size").alias("size"),
@@ -57,8 +63,16 @@ def catalog_register(events: DataFrame) -> DataFrame:
     )
 
 
+def catalog_register(events: DataFrame) -> DataFrame:
+    """Upload and finish events -> one row per (file, user): the latest upload, completed by its finish.
+
+    ``sources.store.Catalog`` keeps the same table in place.
+    """
+    return catalog_rows(catalog_state(events))
+
+
 def upsert_by_source(old: DataFrame, new: DataFrame, key: str = "source_name") -> DataFrame:
-    """Replace every chunk of the incoming sources, in both collections."""
+    """Replace every chunk of the incoming sources, in both collections; ``sources.store`` does so on a stored table."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from hitweave.operators import catalog as G
 from hitweave.plans.registry import query
 from hitweave.plans.tables import CORPUS_SQL, corpus, read
-from hitweave.sources.files import scan_documents, scan_test_cases, stage_cases, stage_documents
+from hitweave.sources.files import scan_documents, scan_test_cases, stage_cases, stage_dir, stage_documents
+from hitweave.sources.store import Catalog, SourceStore, delete_stored
 
 FILES_SQL = """files AS (SELECT doc_id AS file_id, 'file-' || (doc_id % 300) || '.' ||
       CASE doc_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'TXT' WHEN 2 THEN 'md' WHEN 3 THEN 'png' WHEN 4 THEN 'docx' WHEN 5 THEN 'exe' ELSE 'bin' END AS filename,
@@ -61,7 +62,11 @@ def _register(spark, sd):
     f = files(spark, sd)
     kind = F.when(F.col("status") == 3, "finish").otherwise("upload")
     e = f.withColumns({"event": kind, "event_ts": F.col("file_id"), "chunks": F.col("size") % 50})
-    return G.catalog_register(e).drop("type")
+    # events come in two deliveries, out of order
+    catalog = Catalog(spark, stage_dir(spark, "catalog"), buckets=16)
+    catalog.create(e.where("file_id % 3 <> 1"))
+    catalog.register(e.where("file_id % 3 = 1"))
+    return catalog.rows().drop("type")
 
 
 @query(
@@ -76,7 +81,12 @@ def _upsert(spark, sd):
     new = c.where("right(source_name, 1) IN ('1', '4') AND chunk_index % 2 = 0").withColumns(
         {"vec_id": F.col("vec_id") + 1000000, "text": F.concat(F.lit("new "), "text")}
     )
-    return G.upsert_by_source(c, new)
+    # a stored table, changed twice in place: first the sources that end in 1, then those in 4
+    store = SourceStore(spark, stage_dir(spark, "chunks"), buckets=32)
+    store.create(c)
+    for last in ("1", "4"):
+        store.replace(new.where(F.endswith("source_name", F.lit(last))))
+    return store.read()
 
 
 @query("scan_chunks_both", f"WITH {CORPUS_SQL} SELECT vec_id, collection, source_name, chunk_index FROM corpus")
@@ -126,7 +136,11 @@ def _delete(spark, sd):
     req = read(spark, sd, "events").select(
         F.when(i % 3 == 0, F.concat(F.lit("file-"), i % 100, F.lit(".pdf"))).alias("name"), F.when(i % 3 == 1, i % 700).alias("file_id")
     )
-    left, kept = G.delete_source(f, chunks, req)
+    stored = SourceStore(spark, stage_dir(spark, "files"), "filename", 32), SourceStore(spark, stage_dir(spark, "chunks"), buckets=32)
+    for store, rows in zip(stored, (f, chunks), strict=True):
+        store.create(rows)
+    delete_stored(stored[1], stored[0], req)
+    left, kept = (s.read() for s in stored)
     return left.select(F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(
         kept.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"))
     )
