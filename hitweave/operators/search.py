@@ -210,19 +210,28 @@ def _bm25_block(terms: DataFrame, tok: DataFrame, key: str, weights: list[float]
             for lo in range(0, batch.num_rows if len(words) else 0, BATCH):
                 part = batch.slice(lo, BATCH)
                 chunk, weight, first = _postings(part, words, weights, average)
-                weight = weight * (SEARCH.k1 + 1) / (weight + SEARCH.k1) * np.repeat(idf, np.diff(first))
-                for a, b in _tiles(len(ids), part.num_rows):
-                    p, q = np.searchsorted(row, [a, b])
-                    size = first[col[p:q] + 1] - first[col[p:q]]
-                    at = np.arange(size.sum()) + np.repeat(first[col[p:q]] - np.cumsum(size) + size, size)
-                    cell = np.repeat(row[p:q] - a, size) * part.num_rows + chunk[at]
-                    s = np.bincount(cell, weight[at], (b - a) * part.num_rows).reshape(b - a, part.num_rows)
-                    run.add(part.column(0).to_numpy(), s, a)
+                _add_keyword_scores(run, row, col, idf, part.column(0).to_numpy(), chunk, weight, first)
         yield pa.RecordBatch.from_pandas(run.rows(key, above=0.0), preserve_index=False)
 
     return tok.mapInArrow(score, f"query_id long, {key} long, score double")
 
 
+def _add_keyword_scores(
+    run: _Running, row: np.ndarray, col: np.ndarray, idf: np.ndarray, keys: np.ndarray, chunk: np.ndarray, weight: np.ndarray, first: np.ndarray
+) -> None:
+    """Add up, tile by tile, the saturated weights of each query's terms in the chunks ``keys``.
+
+    Query ``row[j]`` has term ``col[j]`` (sorted by query); the postings of term ``t`` are ``first[t]:first[t + 1]``.
+    """
+    weight = weight * (SEARCH.k1 + 1) / (weight + SEARCH.k1) * np.repeat(idf, np.diff(first))
+    for a, b in _tiles(len(run.ids), len(keys)):
+        p, q = np.searchsorted(row, [a, b])
+        size = first[col[p:q] + 1] - first[col[p:q]]
+        at = np.arange(size.sum()) + np.repeat(first[col[p:q]] - np.cumsum(size) + size, size)
+        cell = np.repeat(row[p:q] - a, size) * len(keys) + chunk[at]
+        run.add(keys, np.bincount(cell, weight[at], (b - a) * len(keys)).reshape(b - a, len(keys)), a)
+
+
 def _postings(
     part: pa.RecordBatch, words: pa.Array, weights: list[float], average: list[float]
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

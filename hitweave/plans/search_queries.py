@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from hitweave.operators import question as Q
 from hitweave.operators import search as S
+from hitweave.operators.inverted import KeywordIndex
 from hitweave.params import SEARCH
 from hitweave.plans.chunking_queries import SENT_CHUNK_CTE, sent_chunks
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import clean, jtrim, nai
 from hitweave.plans.tables import CORPUS_SQL, HITS_SQL, QUERIES_SQL, corpus, hits, queries, read
+from hitweave.sources.files import stage_dir
 
 # --- questions: whole conversation texts with openings that trigger the classes
 
@@ -137,10 +139,13 @@ BENCH_SQL = f"""{SENT_CHUNK_CTE},
 
 
 def passage_hits(spark, sd, k=BENCH_K):
-    """Benchmark passages searched in the sentence chunks of all documents."""
+    """Benchmark passages searched in the sentence chunks of all documents, which are indexed in two appends."""
     chunks = sent_chunks(spark, sd).withColumn("chunk_key", F.col("doc_id") * (1 << 27) + F.col("chunk_index"))
     q = read(spark, sd, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return S.bm25_topk(q, chunks, "chunk_key", S.DOC_FIELDS, k)
+    index = KeywordIndex(spark, stage_dir(spark, "keywords"), S.DOC_FIELDS)
+    for batch in (0, 1):
+        index.append(chunks.where(F.col("doc_id") % 4 == 3 if batch else F.col("doc_id") % 4 != 3), "chunk_key", batch)
+    return index.search(q, k, "chunk_key")
 
 
 @query("bm25_topk", f"WITH {BENCH_SQL} SELECT query_id, k AS chunk_key, round(score, 4) AS score, ord FROM bm")
