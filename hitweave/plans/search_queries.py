@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hitweave.operators import question as Q
 from hitweave.operators import search as S
 from hitweave.operators.inverted import KeywordIndex
+from hitweave.operators.nearest import vector_topk_lsh
 from hitweave.params import SEARCH
 from hitweave.plans.chunking_queries import SENT_CHUNK_CTE, sent_chunks
 from hitweave.plans.registry import query
@@ -106,6 +107,14 @@ def _vector(spark, sd):
     return top.select("query_id", "vec_id", "ord", F.round("score", 4).alias("score"))
 
 
+@query("vector_topk_lsh")
+def _vector_lsh(spark, sd):
+    """The same by random-projection buckets; recall against the exact form is tested."""
+    e = read(spark, sd, "embeddings")
+    top = vector_topk_lsh(e.withColumnRenamed("vec_id", "query_id"), e, "vec_id", 10, bits=4, tables=24)
+    return top.select("query_id", "vec_id", "ord", F.round("score", 4).alias("score"))
+
+
 def bm25_sql(name: str, chunks: str, qsrc: str, key: str, fields: dict[str, float], k: int) -> str:
     """CTEs ending in ``{name}(query_id, key, score, ord)``."""
     n = name
