@@ -97,5 +97,49 @@ def test_live_views_equal_batch(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
     assert rows(live.latest_summary(spark, out)) == rows(conversation_summary(whole))
     kept = reset_history(whole).select("_id", "message_id", "message")
-    assert rows(live.live_history(spark, out + "2").select("_id", "message_id", "message")) == rows(kept)
+    assert rows(live.live_history(spark, out + "2", mark + "2", whole.schema).select("_id", "message_id", "message")) == rows(kept)
     assert sorted(r["_id"] for r in kept.collect()) == [4, 5]
+
+
+def conversation_rows(seed, n=60):
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        role, text = r.choice([("user", "reset"), ("user", "Reset"), ("assistant", "reset"), ("user", f"m{i}"), ("assistant", f"a{i}"), ("user", None), (None, "x")])
+        out.append((i, f"c{r.randrange(4)}", role, "m", text, f"2024-01-01 {r.randrange(24):02}:{r.randrange(60):02}:00.{i:06}", None))
+    return out
+
+
+def test_reset_state_in_any_batching(spark, tmp_path):
+    for seed in range(2):
+        data = conversation_rows(seed)
+        want = sorted(map(tuple, reset_history(frame(spark, data)).select(sorted(frame(spark, data).columns)).collect()), key=str)
+        for sizes in ((60,), (20, 20, 20)):
+            base, at = tmp_path / f"{seed}-{len(sizes)}", 0
+            src, out, mark = (str(base / x) for x in ("log", "out", "mark"))
+            for n in sizes:
+                frame(spark, data[at : at + n]).coalesce(1).write.mode("append").parquet(src)
+                at += n
+                live.stream_reset(spark.readStream.schema(SCHEMA).parquet(src), out, mark).awaitTermination()
+            got = live.live_history(spark, out, mark, frame(spark, data).schema)
+            assert sorted(map(tuple, got.select(sorted(got.columns)).collect()), key=str) == want
+
+
+def test_reset_state_is_bounded_by_the_time_out(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("log", "out", "mark"))
+    days = [
+        [(1, "x", "user", "m", "one", "2024-01-01 00:00:00", None), (2, "y", "user", "m", "two", "2024-01-01 01:00:00", None)],
+        [(3, "z", "user", "m", "three", "2024-01-09 00:00:00", None)],
+        [(4, "z", "user", "m", "four", "2024-01-09 01:00:00", None), (5, "x", "user", "m", "RESET", "2024-01-10 00:00:00", None)],
+        [(6, "x", "assistant", "m", "six", "2024-01-10 01:00:00", None)],
+    ]
+    for day in days:
+        frame(spark, day).write.mode("append").parquet(src)
+        live.stream_reset(spark.readStream.schema(SCHEMA).parquet(src), out, mark, time_out="3 days").awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "messages").load(mark)
+    assert sorted(r[0] for r in state.select("key.message_id").collect()) == ["x", "z", "z"]  # the first days are closed
+    got = live.live_history(spark, out, mark, frame(spark, days[0]).schema)
+    every = frame(spark, [r for d in days for r in d])
+    assert sorted(r["_id"] for r in got.collect()) == sorted(r["_id"] for r in reset_history(every).collect()) == [2, 3, 4, 6]
