@@ -143,3 +143,56 @@ def test_reset_state_is_bounded_by_the_time_out(spark, tmp_path):
     got = live.live_history(spark, out, mark, frame(spark, days[0]).schema)
     every = frame(spark, [r for d in days for r in d])
     assert sorted(r["_id"] for r in got.collect()) == sorted(r["_id"] for r in reset_history(every).collect()) == [2, 3, 4, 6]
+
+
+def states(spark, store):
+    return {r["source_name"]: (r["status"], r["stage"], r["busy"]) for r in ingest.current_status(spark.read.parquet(f"{store}/status")).collect()}
+
+
+def test_status_is_visible_while_a_batch_is_worked_on(spark, tmp_path):
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    put(root, "a.txt", "uno dos")
+    put(root, "b.txt", "tres")
+    seen = []
+
+    def chunker(docs):
+        seen.append(states(spark, store))
+        return ingest.default_chunker(docs)
+
+    ingest.stream_ingest(spark, str(root), store, mark, chunker).awaitTermination()
+    assert seen == [{"a.txt": ("processing", "chunking", True), "b.txt": ("processing", "chunking", True)}]
+    assert states(spark, store) == {"a.txt": ("completed", "done", False), "b.txt": ("completed", "done", False)}
+
+
+def test_a_bad_source_does_not_stop_the_others(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    for i in range(9):
+        put(root, f"s{i}.txt", f"text {i}" if i != 4 else "BOOM")
+
+    def chunker(docs):
+        bad = F.when(F.col("text") == "BOOM", F.raise_error(F.lit("cannot be read"))).otherwise(F.col("text"))
+        return ingest.default_chunker(docs.withColumn("text", bad))
+
+    ingest.stream_ingest(spark, str(root), store, mark, chunker).awaitTermination()
+    assert {n: s[0] for n, s in states(spark, store).items()} == {f"s{i}.txt": "failed" if i == 4 else "completed" for i in range(9)}
+    assert {r["source_name"] for r in ingest.current_chunks(spark, store).collect()} == {f"s{i}.txt" for i in range(9) if i != 4}
+    events = spark.read.parquet(f"{store}/status").where("error IS NOT NULL").collect()
+    assert [(e["source_name"], "cannot be read" in e["error"]) for e in events] == [("s4.txt", True)]
+    # a batch of nothing but failures
+    put(root, "t.txt", "BOOM")
+    ingest.stream_ingest(spark, str(root), store, mark, chunker).awaitTermination()
+    assert states(spark, store)["t.txt"] == ("failed", "chunking", False) and states(spark, store)["s1.txt"][0] == "completed"
+
+
+def test_versions_in_one_batch(spark, tmp_path):
+    import os
+
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    root.mkdir()
+    for i, text in enumerate(("old", "newest", "older")):
+        put(root / f"v{i}", "a.txt", text)
+        os.utime(root / f"v{i}" / "a.txt", (1_700_000_000 + [0, 500, 100][i],) * 2)
+    ingest.stream_ingest(spark, str(root), store, mark, version_folders=1).awaitTermination()
+    assert [r["text"] for r in ingest.current_chunks(spark, store).collect()] == ["newest"]
