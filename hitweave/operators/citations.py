@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from hitweave.functions.ranking import explode_rows
 from hitweave.functions.text import (
@@ -140,35 +143,43 @@ def fix_quote_length(quote: Column | str, text: Column | str) -> Column:
     return let(words(t), fix)
 
 
-def best_span(hint: Column | str, text: Column | str) -> Column:
-    """The first window of 6 to 12 words sharing most words with the hint."""
-    lo, hi = CITE.span_min, CITE.span_max
-    wanted = F.filter(F.split(norm_loose_decimal(hint), WS + "+"), lambda x: x != "")
+def _best_window(marks: np.ndarray) -> int:
+    """Start and size (``start * 16 + size``) of the window with most marks; then the earliest, then the shortest."""
+    lo, hi = CITE.span_min, min(CITE.span_max, len(marks))
+    upto = np.concatenate([[0], np.cumsum(marks)])
+    found = []
+    for size in range(lo, hi + 1):
+        sums = upto[size:] - upto[:-size]
+        start = int(np.argmax(sums))  # the first of the largest
+        found.append((-int(sums[start]), start, size))
+    _, start, size = min(found)
+    return start * 16 + size
 
-    def search(w: Column, hints: Column) -> Column:
-        n = F.size(w)
-        # all words are normalised in one go
-        normed = let(F.array_join(w, BETWEEN), lambda t: F.split(norm_loose_decimal(t, BETWEEN), BETWEEN, -1))
-        marks = F.transform(normed, lambda x: F.array_contains(hints, F.btrim(x)).cast("int"))
 
-        def at(m: Column, i: Column) -> Column:
-            """Windows from word i on: matching words, start and size, so that the largest is the best."""
+@F.pandas_udf(LongType())
+def _best_windows(normed: pd.Series, hints: pd.Series) -> pd.Series:
+    """Best window of each text by prefix sums. ``normed`` has its normalised words with ``BETWEEN`` in between."""
+    out = []
+    for text, wanted in zip(normed, hints, strict=True):
+        wanted = set() if wanted is None else set(wanted)
+        w = text.split(BETWEEN) if text is not None and wanted else []
+        out.append(_best_window(np.array([x.strip(" ") in wanted for x in w], np.int64)) if len(w) >= CITE.span_min else None)
+    return pd.Series(out, dtype="Int64")
 
-            def sized(near: Column) -> Column:
-                sizes = F.sequence(F.lit(lo), F.least(F.lit(hi), n - i))
-                total = lambda k: F.aggregate(F.slice(near, F.lit(1), k), F.lit(0), lambda a, x: a + x)
-                return F.transform(sizes, lambda k: F.struct(total(k).alias("s"), (-i).alias("i"), (-k).alias("l")))
 
-            return let(F.slice(m, i + 1, F.lit(hi)), lambda near: F.array_max(sized(near)))
+def best_span(hint: Column | str, text: Column | str) -> Column:
+    """The first window of 6 to 12 words sharing most words with the hint.
 
-        def best(m: Column) -> Column:
-            # largest sum, then earliest start, then shortest
-            top = F.array_max(F.transform(F.sequence(F.lit(0), n - lo), lambda i: at(m, i)))
-            return let(top, lambda b: F.array_join(F.slice(w, 1 - b["i"], -b["l"]), " "))
+    Words are normalised in one go, and windows compared by prefix sums over Arrow batches.
+    """
+    w = words(text_or_empty(text))
+    wanted = F.filter(F.split(norm_loose_decimal(hint), WS + "+"), lambda x: x != "")
+    best = _best_windows(norm_loose_decimal(F.array_join(w, BETWEEN), BETWEEN), wanted)
 
-        return F.when((n >= lo) & (F.size(hints) > 0), let(marks, best))
+    def cut(b: Column) -> Column:
+        return F.when(b.isNotNull(), F.array_join(F.slice(w, F.shiftright(b, 4).cast("int") + 1, (b % 16).cast("int")), " "))
 
-    return let(words(text_or_empty(text)), lambda w: let(wanted, lambda h: search(w, h)))
+    return let(best, cut)
 
 
 def validate_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
@@ -192,7 +203,7 @@ def validate_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
         & quote_exists("_fix", "llm_text")
     )
     df = df.withColumn("_fix", F.when(fixed_ok, F.col("_fix")))
-    df = df.withColumn("_span", F.when(todo & F.col("_fix").isNull(), best_span("_q", "llm_text")))
+    df = df.withColumn("_span", best_span("_q", F.when(todo & F.col("_fix").isNull(), F.col("llm_text"))))
     span_ok = word_count("_span").between(CITE.min_words, CITE.max_words) & (F.col("_span") != "")
     df = df.withColumn("_span", F.when(span_ok, F.col("_span")))
     head = words("llm_text")
