@@ -128,9 +128,12 @@ def eval_percentile(df: DataFrame, by: str, value: str, p: float, accuracy: int
 
 
 def trace_summary(
-    results: DataFrame, kept: DataFrame, expanded: DataFrame, contexts: DataFrame, refusals: DataFrame, budget: int
+    results: DataFrame, kept: DataFrame, expanded: DataFrame, contexts: DataFrame, refusals: DataFrame, budget: int, latencies: DataFrame
 ) -> DataFrame:
-    """Per query one line over all stages: counts, budget use, tokens and status."""
+    """Per query one line over all stages: counts, budget use, tokens, status, and how long its calls took.
+
+    ``latencies`` has ``query_id, ms`` for every timed call of a query, which are made outside; their sum is ``latency``.
+    """
     size = F.length(text_or_empty("text"))
     r = results.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_distinct("source_name").alias("sources"))
     k = kept.groupBy("query_id").agg(F.count("*").alias("filter_out"))
@@ -139,6 +142,7 @@ def trace_summary(
     )
     c = contexts.select("query_id", F.col("used_chunks").alias("chunks"), F.ceil(F.length("context") / 4).alias("tokens"))
     out = r.join(k, "query_id", "left").join(e, "query_id", "left").join(c, "query_id", "left").join(refusals, "query_id", "left")
+    out = out.join(latencies.groupBy("query_id").agg(F.round(F.sum("ms"), 2).alias("latency")), "query_id", "left")
     out = out.fillna(0, ["filter_out", "added", "retrieved", "_used", "chunks", "tokens"])
     return out.select(
         "query_id",
@@ -152,6 +156,7 @@ def trace_summary(
         "tokens",
         (F.col("chunks") - F.least("chunks", "retrieved")).alias("expanded_in_context"),
         F.when(F.col("refusal_reason").isNotNull(), "refused").otherwise("ok").alias("status"),
+        "latency",
     )
 
 

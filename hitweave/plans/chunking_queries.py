@@ -132,11 +132,12 @@ def _qna(spark, sd):
 @query(
     "split_collections",
     f"""WITH {QA_CTE}
-    SELECT CASE WHEN doc_id % 2 = 0 THEN 'qna' ELSE 'doc' END AS collection, count(*) AS pairs FROM pairs GROUP BY 1""",
+    SELECT CASE WHEN n_pairs >= 3 AND chars / length(t)::DOUBLE >= 0.6 THEN 'qna' ELSE 'doc' END AS collection, count(*) AS pairs
+    FROM pairs JOIN agg USING (doc_id) JOIN d USING (doc_id) GROUP BY 1""",
 )
 def _collections(spark, sd):
-    d = C.with_qa_structure(faq(spark, sd)).select("doc_id", F.explode("qa_pairs").alias("p"))
-    c = C.split_collections(d.withColumn("is_qa_pair", F.col("doc_id") % 2 == 0))
+    d = C.with_qa_structure(faq(spark, sd)).select("doc_id", "qa_is_qa", F.explode("qa_pairs").alias("p"))
+    c = C.split_collections(d, "qa_is_qa")
     return c.groupBy("collection").agg(F.count("*").alias("pairs"))
 
 

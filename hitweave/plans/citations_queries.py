@@ -9,7 +9,7 @@ from hitweave.operators import citations as C
 from hitweave.operators.context import build_context, context_pages
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import WS_TRIM, nai
-from hitweave.plans.tables import hits, read
+from hitweave.plans.tables import docs, hits, read
 
 # one answer per conversation turn: text, a stray section, and the section that counts
 PAGE_A, PAGE_B = "(conv_id % 7)", "(conv_id % 5)"
@@ -63,7 +63,7 @@ def _parse(spark, sd):
 
 def pairs(spark, sd):
     """Documents with a quote made from their own words, mangled in four ways."""
-    d = read(spark, sd, "documents").select("doc_id", "text")
+    d = docs(spark, sd)
     i = F.col("doc_id") % 4
     w = X.words(F.col("text"))
     quote = (

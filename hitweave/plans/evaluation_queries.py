@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hitweave.operators import evaluation as V
+from hitweave.operators import expansion as E
+from hitweave.plans.context_queries import BUDGET, ORDERED_SQL
+from hitweave.plans.judge_queries import PICKED_SQL, picked
 from hitweave.plans.registry import query
-from hitweave.plans.tables import HITS_SQL, hits, queries, read
+from hitweave.plans.tables import HITS_SQL, corpus, hits, queries, read
+from hitweave.session import write_table
 
 # the source after that of the query's own vector is expected; every twelfth case must be refused, and some cases,
 # with negative ids, have no results
@@ -137,23 +141,29 @@ def _percentile(spark, sd):
 
 @query(
     "trace_summary",
-    f"""WITH {HITS_SQL},
-    r AS (SELECT query_id, count(*) AS hits, count(DISTINCT source_name) AS sources, count(*) FILTER (vec_id % 2 = 0) AS filter_out,
-            count(*) FILTER (ord <= 6 AND ord > 4) AS added, count(*) FILTER (ord <= 4) AS retrieved, sum(length(text)) FILTER (ord <= 6) AS used,
-            string_agg(left(text, 900), '' ORDER BY ord) FILTER (ord <= 5) AS context FROM hits GROUP BY query_id)
-    SELECT query_id, hits, sources, hits AS filter_in, filter_out, added, used || '/4000' AS budget, 5 AS chunks, ceil(length(context) / 4.0)::BIGINT AS tokens,
-      5 - least(5, retrieved) AS expanded_in_context, CASE WHEN query_id % 8 = 0 THEN 'refused' ELSE 'ok' END AS status FROM r""",
+    f"""WITH {PICKED_SQL}, {ORDERED_SQL},
+    r AS (SELECT query_id, count(*) AS hits, count(DISTINCT source_name) AS sources FROM hits GROUP BY query_id),
+    k AS (SELECT query_id, count(*) AS filter_out FROM picked GROUP BY query_id),
+    e AS (SELECT query_id, count(*) FILTER (is_expansion) AS added, count(*) FILTER (NOT is_expansion) AS retrieved, sum(length(text)) AS used,
+            count(*) FILTER (ord <= 5) AS chunks, string_agg(left(text, 900), '' ORDER BY ord) FILTER (ord <= 5) AS context FROM expanded GROUP BY query_id),
+    l AS (SELECT user_id AS query_id, round(sum(value), 2) AS latency FROM events GROUP BY user_id)
+    SELECT query_id, hits, sources, hits AS filter_in, coalesce(filter_out, 0) AS filter_out, coalesce(added, 0) AS added,
+      coalesce(used, 0) || '/{BUDGET}' AS budget, coalesce(chunks, 0) AS chunks, coalesce(ceil(length(context) / 4.0)::BIGINT, 0) AS tokens,
+      coalesce(chunks, 0) - least(coalesce(chunks, 0), coalesce(retrieved, 0)) AS expanded_in_context,
+      CASE WHEN query_id % 8 = 0 THEN 'refused' ELSE 'ok' END AS status, latency
+    FROM r LEFT JOIN k USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN l USING (query_id)""",
 )
 def _trace(spark, sd):
     h = hits(spark, sd)
-    expanded = h.where("ord <= 6").withColumn("is_expansion", F.col("ord") > 4)
-    head = h.where("ord <= 5")
+    kept = write_table(picked(spark, sd, h), "picked")
+    spread_ = write_table(E.ordered_expand(kept, corpus(spark, sd), budget=BUDGET), "expanded")
     texts = F.array_sort(F.collect_list(F.struct("ord", F.left("text", F.lit(900)).alias("t"))))
-    contexts = head.groupBy("query_id").agg(
+    contexts = spread_.where("ord <= 5").groupBy("query_id").agg(
         F.count("*").alias("used_chunks"), F.array_join(F.transform(texts, lambda x: x["t"]), "").alias("context")
     )
     refusals = queries(spark, sd).select("query_id", F.when(F.col("query_id") % 8 == 0, "no_chunks").alias("refusal_reason"))
-    return V.trace_summary(h, h.where("vec_id % 2 = 0"), expanded, contexts, refusals, 4000)
+    latencies = read(spark, sd, "events").select(F.col("user_id").alias("query_id"), F.col("value").alias("ms"))
+    return V.trace_summary(h, kept, spread_, contexts, refusals, BUDGET, latencies)
 
 
 @query("trace_top", f"WITH {HITS_SQL} SELECT query_id, source_name, chunk_index, round(score, 4) AS score, ord AS pos FROM hits WHERE ord <= 5")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from hitweave.functions import text as X
 from hitweave.operators import judge as J
+from hitweave.operators import shaping as H
 from hitweave.operators.shaping import with_features
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import BULLET, CODE, NUMBERED, nai
 from hitweave.plans.tables import HITS_SQL, hits, queries, read
+from hitweave.session import write_table
 
 # decisions follow from the ids; every label, reason and relevance occurs
 LABEL = "CASE (query_id * 7 + vec_id * 3) % 4 WHEN 1 THEN 'NEUTRAL' WHEN 3 THEN 'CONTRADICTION' ELSE 'ENTAILMENT' END"
@@ -191,6 +193,18 @@ def selected(spark, sd):
     return J.rerank_select(g)
 
 
+# the hits that the judge kept, in its order
+PICKED_SQL = f"""{STRONG_SQL},
+    picked AS (SELECT h.* REPLACE (s.rank AS ord) FROM hits h JOIN selected s ON s.query_id = h.query_id AND s.abs_id = h.ord - 1)"""
+
+
+def picked(spark, sd, lists):
+    """The rows of hit lists that the judge kept, ``ord`` being their rank."""
+    s = selected(spark, sd).select("query_id", (F.col("abs_id") + 1).alias("ord"), "rank")
+    rows = lists.join(write_table(s, "selection"), ["query_id", "ord"])
+    return rows.drop("ord").withColumnRenamed("rank", "ord")
+
+
 @query("rerank_select", f"WITH {STRONG_SQL} SELECT query_id, abs_id, label, tier, rank FROM selected")
 def _rerank(spark, sd):
     return selected(spark, sd).select("query_id", "abs_id", "label", "tier", "rank")
@@ -203,3 +217,19 @@ def _rerank(spark, sd):
 )
 def _selection(spark, sd):
     return J.selection_stats(selected(spark, sd))
+
+
+@query(
+    "pipeline_stats",
+    f"""WITH {PICKED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS r,
+             max(score) OVER (PARTITION BY query_id) AS top FROM hits),
+    k AS (SELECT query_id, count(*) AS kept, count(DISTINCT source_name) AS sources FROM picked GROUP BY query_id)
+    SELECT query_id, count(*) AS initial_count, count(*) FILTER (r <= 12 OR score >= top - 0.5) AS after_threshold,
+      coalesce(any_value(kept), 0) AS after_rerank, coalesce(any_value(kept), 0) AS after_expansion, coalesce(any_value(sources), 0) AS sources_found
+    FROM c LEFT JOIN k USING (query_id) GROUP BY query_id""",
+)
+def _pipeline_stats(spark, sd):
+    h = hits(spark, sd)
+    c = H.candidate_cut(h, top_n=12, delta=0.5)
+    kept = write_table(picked(spark, sd, h), "picked")
+    return H.pipeline_stats(h, c, kept, H.source_boost(kept))

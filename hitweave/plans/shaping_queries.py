@@ -56,18 +56,3 @@ BOOST_SQL = """
 def _boost(spark, sd):
     b = H.source_boost(hits(spark, sd))
     return b.select("query_id", "vec_id", "ord", F.round("source_boost", 4).alias("source_boost"))
-
-
-@query(
-    "pipeline_stats",
-    f"""WITH {HITS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS r,
-             max(score) OVER (PARTITION BY query_id) AS top FROM hits)
-    SELECT query_id, count(*) AS initial_count, count(*) FILTER (r <= 12 OR score >= top - 0.5) AS after_threshold,
-      count(*) FILTER (r <= 9) AS after_rerank, count(*) FILTER (r <= 9) AS after_expansion,
-      count(DISTINCT source_name) FILTER (r <= 9) AS sources_found FROM c GROUP BY query_id""",
-)
-def _stats(spark, sd):
-    h = hits(spark, sd)
-    c = H.candidate_cut(h, top_n=12, delta=0.5)
-    picked = c.where("ord <= 9")
-    return H.pipeline_stats(h, c, picked, H.source_boost(picked))
