@@ -22,7 +22,7 @@ _TAB[0x41:0x5B] = _TAB[0x61:0x7B]
 _TAB[~_IS_WORD] = 0
 _MIX = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _HASH_BYTES = 1 << 19
 
 
