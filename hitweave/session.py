@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the one that the session names in ``spark.checkpoint.dir``.
 
-    Where that is unset, it is set to a folder of the warehouse, which all executors reach as well.
+    Where that is unset on a local master, it is set to a folder of the warehouse; on a cluster that could be a folder of
+    one machine, so the job stops.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
