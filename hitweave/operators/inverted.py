@@ -1,9 +1,9 @@
 """A stored inverted index for keyword search: postings by term, appendable, read only where terms are asked for.
 
 Chunks are tokenised and inverted in the task that reads them, ``SHARD`` chunks at a time, without a shuffle of texts: a row
-holds the postings of one term in one shard (chunk keys, and for each field the counts and field lengths) and so at most
-``SHARD`` of them. Rows are dealt to folders by hash of the term and sorted by term, so a search reads the folders of its
-terms. Every append adds a folder ``batch=N`` with its postings and totals; document frequencies and mean lengths are sums
+holds the postings of one term in one shard (the chunks' places there, and the counts of each field) and so at most
+``SHARD`` of them; one more row of the shard has its chunks' keys and field lengths. Rows are dealt to folders by hash of the term and sorted by term, so a search reads the folders of its
+terms. Every append adds a folder ``batch=N``; document frequencies and mean lengths are sums
 over the batches, so scores are those of one index over all chunks.
 
 A search reads term and number of postings first (document frequencies), then the postings of the asked terms, dealt by
@@ -51,14 +51,22 @@ def _inverted(parts: list[pa.RecordBatch], fields: int, shard: int) -> pa.Record
     counts = [np.bincount(at[of_field == i], minlength=len(cell)) for i in range(fields)]
     first = np.searchsorted(cell, np.arange(len(words.dictionary) + 1) * n)
     chunk = cell % max(n, 1)
-    columns = [words.dictionary, pa.array(np.full(len(first) - 1, shard), pa.int64()), pa.array(np.diff(first), pa.int32()), _ints(first, keys[chunk], pa.int64())]
+    terms = len(first) - 1
+    # the last row is the shard's own
+    last = lambda values, kind: pa.concat_arrays([pa.nulls(terms, pa.list_(kind)), pa.array([values], pa.list_(kind))])
+    rest = lambda lists: pa.concat_arrays([lists, pa.nulls(1, lists.type)])
+    columns = [
+        pa.concat_arrays([words.dictionary, pa.nulls(1, pa.string())]), pa.array(np.full(terms + 1, shard), pa.int64()),
+        pa.array(np.append(np.diff(first), n), pa.int32()), last(keys, pa.int64()), rest(_ints(first, chunk, pa.int32())),
+    ]
     for i in range(fields):
-        columns += [_ints(first, counts[i], pa.int32()), _ints(first, length[i][chunk], pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, _names(fields))
+        columns += [rest(_ints(first, counts[i], pa.int32())), last(length[i], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _schema(fields).split(", ")])
 
 
-def _names(fields: int) -> list[str]:
-    return ["term", "shard", "n", "keys", *[f"{x}{i}" for i in range(fields) for x in ("count", "length")]]
+def _schema(fields: int) -> str:
+    lists = "".join(f", count{i} array<int>, length{i} array<int>" for i in range(fields))
+    return f"term string, shard long, n int, keys array<long>, at array<int>{lists}"
 
 
 class KeywordIndex:
@@ -74,7 +82,6 @@ class KeywordIndex:
         """Add the postings of these chunks. A batch number that exists is written anew, so a failed append can be repeated."""
         n, shard_rows = len(self.fields), self.shard
         words = chunks.select(F.col(key).cast("long").alias("key"), *[tokens(F.coalesce(f, F.lit(""))).alias(f"t{i}") for i, f in enumerate(self.fields)])
-        lists = "".join(f", count{i} array<int>, length{i} array<int>" for i in range(n))
 
         def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, done, kept, rows = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -83,36 +90,23 @@ class KeywordIndex:
                     take = b.slice(0, shard_rows - rows)
                     kept, rows, b = [*kept, take], rows + take.num_rows, b.slice(take.num_rows)
                     if rows == shard_rows:
-                        yield from out(kept, first + done)
+                        yield _inverted(kept, n, first + done)
                         kept, rows, done = [], 0, done + 1
             if rows:
-                yield from out(kept, first + done)
-
-        def out(kept: list[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
-            found = _inverted(kept, n, shard)
-            yield found
-            # totals: a row without a term
-            lengths = [int(pc.sum(pc.list_value_length(b.column(i + 1))).as_py() or 0) for i in range(n) for b in kept]
-            per = len(kept)
-            sums = [sum(lengths[i * per : (i + 1) * per]) for i in range(n)]
-            empty = pa.array([None], pa.list_(pa.int32()))
-            row = [pa.array([None], pa.string()), pa.array([shard]), pa.array([0], pa.int32()), pa.array([[sum(b.num_rows for b in kept), *sums]], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*row, *[empty] * (2 * n)], found.schema.names)
-
-        rows = words.mapInArrow(invert, f"term string, shard long, n int, keys array<long>{lists}")
+                yield _inverted(kept, n, first + done)
+
+        rows = words.mapInArrow(invert, _schema(n))
         rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self._bucket("term")))
         rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "shard")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
 
     def postings(self) -> DataFrame:
-        lists = "".join(f", count{i} array<int>, length{i} array<int>" for i in range(len(self.fields)))
-        schema = f"term string, shard long, n int, keys array<long>{lists}, batch int, bucket int"
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(f"{_schema(len(self.fields))}, batch int, bucket int").parquet(self.path)
 
     def totals(self) -> tuple[int, list[float]]:
         """Number of chunks and mean length of each field."""
-        rows = self.postings().where("bucket = -1")
-        r = rows.agg(*[F.sum(F.get("keys", F.lit(i))) for i in range(len(self.fields) + 1)]).first()
+        sums = [F.sum(F.expr(f"aggregate(length{i}, 0L, (a, x) -> a + x)")) for i in range(len(self.fields))]
+        r = self.postings().where("bucket = -1").agg(F.sum("n"), *sums).first()
         return int(r[0] or 0), [float(x or 0) / r[0] if r[0] else 0.0 for x in r[1:]]
 
     def asked(self, terms: DataFrame) -> DataFrame:
@@ -145,17 +139,22 @@ class KeywordIndex:
         def score(table: pa.Table) -> pa.Table:
             ids, row, col, words, idf = shared.value
             run = _Running(ids, k)
+            own = table.filter(pc.is_null(table.column("term"))).slice(0, 1)
+            table = table.filter(pc.is_valid(table.column("term"))).combine_chunks()
             term = pc.index_in(table.column("term").combine_chunks(), value_set=pa.array(words, pa.string())).to_numpy()
             table = table.take(pa.array(np.argsort(term, kind="stable")))
             size = np.zeros(len(words) + 1, np.int64)
             size[np.sort(term) + 1] = table.column("n").to_numpy()
-            keys, chunk = np.unique(table.column("keys").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            flat = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy()
+            keys, chunk = flat(own, "keys"), flat(table, "at")
             weight = np.zeros(len(chunk))
             for i, (w, mean) in enumerate(zip(weights, average, strict=True)):
-                count, length = (table.column(f"{x}{i}").combine_chunks().flatten().to_numpy() for x in ("count", "length"))
-                norm = 1 - SEARCH.b + SEARCH.b * length / mean if mean else np.ones(len(chunk))
-                weight += w * count / norm
+                norm = 1 - SEARCH.b + SEARCH.b * flat(own, f"length{i}") / mean if mean else np.ones(len(keys))
+                weight += w * flat(table, f"count{i}") / norm[chunk]
             _add_keyword_scores(run, row, col, idf, keys, chunk, weight, np.cumsum(size))
             return pa.Table.from_pandas(run.rows(key, above=0.0), preserve_index=False)
 
+        shards = rows.select("batch", "shard").distinct()
+        owns = self.postings().where("bucket = -1").join(shards, ["batch", "shard"], "left_semi").select(*rows.columns)
+        rows = rows.unionByName(owns)
         return rows.drop("bucket").groupBy("batch", "shard").applyInArrow(score, f"query_id long, {key} long, score double")
