@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hitweave.operators.search import _add_keyword_scores, _cut, _most, _Running, query_blocks, query_terms, tokens
 from hitweave.params import SEARCH
 
-SHARD = 1 << 15
+SHARD = 1 << 13
 BUCKETS = 64
 
 
