@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.operators.search import _add_keyword_scores, _cut, _most, _Running, query_blocks, query_terms, tokens
+from hitweave.operators.search import LEAST, _add_keyword_scores, _cut, _most, _Running, query_blocks, query_terms, tokens
 from hitweave.params import SEARCH
 
 SHARD = 1 << 13
@@ -138,7 +138,7 @@ class KeywordIndex:
 
         def score(table: pa.Table) -> pa.Table:
             ids, row, col, words, idf = shared.value
-            run = _Running(ids, k)
+            run = _Running(ids, k, LEAST)
             own = table.filter(pc.is_null(table.column("term"))).slice(0, 1)
             table = table.filter(pc.is_valid(table.column("term"))).combine_chunks()
             term = pc.index_in(table.column("term").combine_chunks(), value_set=pa.array(words, pa.string())).to_numpy()
