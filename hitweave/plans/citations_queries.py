@@ -10,6 +10,7 @@ from hitweave.operators.context import build_context, context_pages
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import WS_TRIM, nai
 from hitweave.plans.tables import docs, hits, read
+from hitweave.session import write_table
 
 # one answer per conversation turn: text, a stray section, and the section that counts
 PAGE_A, PAGE_B = "(conv_id % 7)", "(conv_id % 5)"
@@ -92,7 +93,8 @@ def _span(spark, sd):
 
 def cited(spark, sd):
     """Answers to the example queries, quoting words of the first section shown."""
-    pages = context_pages(build_context(hits(spark, sd)))
+    # read by both sides: packed once
+    pages = write_table(context_pages(build_context(hits(spark, sd))), "pages")
     w = X.words("llm_text")
     i = F.col("query_id") % 5
     quote = (
