@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hitweave.operators import shaping as H
 from hitweave.plans.registry import query
-from hitweave.plans.tables import HITS_SQL, hits, lists
+from hitweave.plans.tables import HITS_SQL, hits
 
 CUT_SQL = f"""{HITS_SQL},
     cut AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS ord FROM hits
@@ -30,7 +30,7 @@ def _cut(spark, sd):
 
 @query("mmr_select")
 def _mmr(spark, sd):
-    return H.mmr_select(hits(spark, sd, prepare=H.with_features, top=H.candidate_cut(lists(spark, sd))), "vec_id")
+    return H.mmr_select(H.candidate_cut(hits(spark, sd, prepare=H.with_word_text)), "vec_id")
 
 
 @query(
