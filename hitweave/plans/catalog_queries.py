@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hitweave.operators import catalog as G
 from hitweave.plans.registry import query
 from hitweave.plans.tables import CORPUS_SQL, corpus, read
-from hitweave.sources.files import scan_documents, scan_test_cases, stage_cases, stage_dir, stage_documents
+from hitweave.sources.files import STAGED_ID, scan_documents, scan_test_cases, stage_cases, stage_dir, stage_documents
 from hitweave.sources.store import Catalog, SourceStore, delete_stored
 
 FILES_SQL = """files AS (SELECT doc_id AS file_id, 'file-' || (doc_id % 300) || '.' ||
@@ -170,7 +170,7 @@ def _scan(spark, sd):
     """Every document written as a file of its own (the writer ends it with a line break) and read back."""
     path = stage_documents(read(spark, sd, "documents").select("doc_id", "text"))
     d = scan_documents(spark, path)
-    doc_id = F.regexp_extract("source_name", r"^doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    doc_id = F.regexp_extract("source_name", STAGED_ID, 1).cast("long").alias("doc_id")
     return d.select(doc_id, "source_type", "source_size", "text")
 
 
