@@ -52,23 +52,53 @@ def update_leads(leads: DataFrame, patches: DataFrame) -> DataFrame:
     return out.select(*leads.columns)
 
 
+# leads of one phone that meet its messages in one go
+DEALT = 512
+
+
+def _by_phone(leads: DataFrame, messages: DataFrame) -> DataFrame:
+    """All pairs of a lead and a message with the same phone.
+
+    A few phones may have most rows: the leads of each are dealt to as many parts as hold some ``DEALT`` of them, and its
+    messages go to each part. So a copy of a message is shuffled for hundreds of pairs.
+    """
+    parts = leads.groupBy("phone_number").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_n"))
+    dealt = leads.join(parts, "phone_number").withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.col("_n")).cast("int")).drop("_n")
+    copies = messages.join(parts, "phone_number").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    pairs = copies.hint("shuffle_merge").join(dealt, ["phone_number", "_part"])
+    return pairs.select("lead_id", *messages.drop("phone_number").columns)
+
+
 def lead_messages(leads: DataFrame, messages: DataFrame, fallback: int = 20) -> DataFrame:
     """Messages of the conversations a lead's phone wrote in, and of its own one.
 
     A lead without any conversation gets the first ``fallback`` messages of the log.
     """
-    phones = messages.select(F.col("user_id").alias("phone_number"), "message_id").distinct()
-    by_phone = leads.where(text_or_empty("phone_number") != "").join(phones, "phone_number").select("lead_id", "message_id")
     own = leads.where(text_or_empty("own_message_id") != "").select("lead_id", F.col("own_message_id").alias("message_id"))
-    ids = by_phone.unionByName(own).distinct()
-    found = ids.join(messages, "message_id")
+    wrote = leads.where(text_or_empty("phone_number") != "").select("lead_id", "phone_number").distinct()
+    phones = messages.select(F.col("user_id").alias("phone_number"), "message_id").distinct()
+    # a lead with one phone meets each conversation of it once: only those with several phones need their pairs compared
+    several = wrote.groupBy("lead_id").agg(F.count("*").alias("n")).where("n > 1").select("lead_id")
+    # rows without lead_id count as one lead
+    single = wrote.where("lead_id IS NOT NULL").join(several, "lead_id", "left_anti")
+    rest_of = wrote.join(several, "lead_id", "left_semi").unionByName(wrote.where("lead_id IS NULL"))
+    many = rest_of.join(phones, "phone_number").select("lead_id", "message_id")
+    # its own conversation, if it is none of those
+    new = own.join(single, "lead_id", "left").join(phones.withColumn("_known", F.lit(True)), ["phone_number", "message_id"], "left")
+    ids = many.unionByName(new.where("_known IS NULL").select("lead_id", "message_id")).distinct()
+    of_phone = phones.join(messages, "message_id")
+    found = _by_phone(single, of_phone.select("phone_number", *messages.columns)).unionByName(
+        ids.join(messages, "message_id").select("lead_id", *messages.columns)
+    )
+    served = single.join(phones.select("phone_number").distinct(), "phone_number", "left_semi").select("lead_id")
     first = messages.orderBy("timestamp", "_id").limit(fallback)
     item = F.struct(*messages.columns)
     # at most ``fallback`` rows, attached as one value
     head = first.agg(F.collect_list(item).alias("m")).scalar()
-    rest = leads.join(ids.select("lead_id").distinct(), "lead_id", "left_anti")
+    served = served.unionByName(ids.select("lead_id")).distinct()
+    rest = leads.join(served, "lead_id", "left_anti")
     plain = rest.select("lead_id", F.explode(head).alias("m")).select("lead_id", "m.*")
-    return found.select("lead_id", *messages.columns).unionByName(plain.select("lead_id", *messages.columns))
+    return found.unionByName(plain.select("lead_id", *messages.columns))
 
 
 def lead_conversations(leads: DataFrame, conversations: DataFrame, now: Column) -> DataFrame:
