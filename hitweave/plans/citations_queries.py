@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from hitweave.functions import text as X
 from hitweave.operators import citations as C
-from hitweave.operators.context import build_context, context_pages
+from hitweave.operators.context import context_pages
+from hitweave.plans.context_queries import contexts
 from hitweave.plans.registry import query
 from hitweave.plans.sqltext import WS_TRIM, nai
-from hitweave.plans.tables import docs, hits, read
+from hitweave.plans.tables import docs, read
 from hitweave.session import write_table
 
 # one answer per conversation turn: text, a stray section, and the section that counts
@@ -94,7 +95,7 @@ def _span(spark, sd):
 def cited(spark, sd):
     """Answers to the example queries, quoting words of the first section shown."""
     # read by both sides: packed once
-    pages = write_table(context_pages(build_context(hits(spark, sd))), "pages")
+    pages = write_table(context_pages(contexts(spark, sd)), "pages")
     w = X.words("llm_text")
     i = F.col("query_id") % 5
     quote = (
