@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("key", ["hybrid_search", "ranked_fusion", "hybrid_search_both"])
+@pytest.mark.parametrize("key", ["hybrid_search", "ranked_fusion", "hybrid_search_both", "search_fallback"])
 def test_every_example_is_asked(spark, tables, key):
     df = R.QUERIES[key](spark, tables)
     assert {r.query_id for r in df.select("query_id").collect()} == set(IDS)  # before, 100 and 300 alone
