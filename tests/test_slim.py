@@ -64,6 +64,24 @@ def test_excerpts_are_cut_before_lists_are_dealt(rows):
     assert out.agg(F.max(F.length("excerpt"))).first()[0] <= 600
 
 
+def test_excerpts_from_normal_forms_made_once(spark, rows):
+    from hitweave.functions.text import excerpt_tokens
+
+    c = rows.select("query_id", "ord", F.concat(F.repeat(F.lit("Ácido — "), F.lit(200)), F.lit("sílaba número "), "text").alias("text"))
+    c = c.unionByName(spark.createDataFrame([(1, 900, None), (1, 901, "corto")], "query_id long, ord int, text string"))
+    q = spark.createDataFrame([(1, "¿Y el Número?"), (2, None)], "query_id long, query string")
+    chunks = c.select(F.monotonically_increasing_id().alias("vec_id"), "query_id", "ord", "text")
+    hits = chunks.select("vec_id", "query_id", "ord").join(q.withColumn("query_tokens", excerpt_tokens("query")), "query_id")
+    out = J.judge_batches(hits.join(J.with_excerpt_norm(chunks.select("vec_id", "text")), "vec_id"))
+    pick = lambda df: sorted(map(tuple, df.select("query_id", "ord", "abs_id", "excerpt").collect()), key=str)
+    plain = J.judge_batches(c.join(q, "query_id"))
+    assert pick(out) == pick(plain) and any("numero" in (r[3] or "").lower() or "número" in (r[3] or "") for r in pick(out))
+    # before, a hit's text was folded again for each query: the accents' table stood above the join of hits and chunks
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "lower(" in plan and "lower(" not in above
+
+
 def test_sections_are_cut_before_lists_are_dealt(spark, rows):
     long = rows.withColumn("text", F.repeat("text", F.lit(40)))
     item = build_context(long)
