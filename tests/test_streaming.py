@@ -196,3 +196,23 @@ def test_versions_in_one_batch(spark, tmp_path):
         os.utime(root / f"v{i}" / "a.txt", (1_700_000_000 + [0, 500, 100][i],) * 2)
     ingest.stream_ingest(spark, str(root), store, mark, version_folders=1).awaitTermination()
     assert [r["text"] for r in ingest.current_chunks(spark, store).collect()] == ["newest"]
+
+
+def test_states_without_work_between_them_are_one_write(spark, tmp_path):
+    sources = spark.createDataFrame([("a", 2), ("b", 0)], "source_name string, chunks long")
+    log = ingest.StatusLog(str(tmp_path / "status"))
+    log.begin(sources.drop("chunks"), ingest.CHUNKING)
+    log.add(sources.drop("chunks"), ingest.SAVING)
+    log.finish(sources)
+    rows = spark.read.parquet(log.path)
+    assert sorted(rows.columns) == ["chunks", "error", "progress", "seq", "source_name", "stage", "status", "step"]
+    got = {(r["source_name"], r["seq"]): (r["status"], r["stage"], r["progress"], r["chunks"]) for r in rows.collect()}
+    early = {(n, i): (*ingest.STAGES[i], None) for n in "ab" for i in range(4)}
+    assert got == {**early, ("a", 4): ("completed", "done", 100, 2), ("b", 4): ("failed", "chunking", 35, 0)}
+    assert rows.where("seq <> step").count() == 0
+
+
+def test_columns_are_built_once_a_context(spark):
+    from hitweave.operators.chunking import _qa_columns
+
+    assert _qa_columns("text") is _qa_columns("text") and _qa_columns("body") is not _qa_columns("text")
