@@ -198,6 +198,29 @@ def test_versions_in_one_batch(spark, tmp_path):
     assert [r["text"] for r in ingest.current_chunks(spark, store).collect()] == ["newest"]
 
 
+def test_the_log_of_a_drain_holds_lists_and_not_files(spark, tmp_path):
+    import os
+    import pathlib
+
+    root, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    root.mkdir()
+    for i in range(10):  # dates run against names
+        put(root / f"v{9 - i}", "a.txt" if i % 2 else f"{i}.md", f"text {i}")
+        os.utime(root / f"v{9 - i}" / ("a.txt" if i % 2 else f"{i}.md"), (1_700_000_000 + i * 1_000_000,) * 2)
+    run = lambda: ingest.stream_ingest(spark, str(root), store, mark, files_per_batch=3, version_folders=1).awaitTermination()
+    run()
+    logged = lambda: sum(p.read_text().count('"path"') for p in pathlib.Path(mark, "sources", "0").iterdir() if not p.name.startswith("."))
+    assert logged() == 4  # lists of three files; before, all ten files
+    batches = spark.read.parquet(f"{store}/sources")
+    assert batches.groupBy("batch_id").count().count() == 4
+    current = {r["source_name"]: r["text"] for r in ingest.current_chunks(spark, store).collect()}
+    assert current == {"a.txt": "text 9", **{f"{i}.md": f"text {i}" for i in range(0, 10, 2)}}  # the newest version, whatever its batch
+    put(root / "z", "a.txt", "last")
+    run()
+    run()
+    assert logged() == 5 and {r["text"] for r in ingest.current_chunks(spark, store).where("source_name = 'a.txt'").collect()} == {"last"}
+
+
 def test_states_without_work_between_them_are_one_write(spark, tmp_path):
     sources = spark.createDataFrame([("a", 2), ("b", 0)], "source_name string, chunks long")
     log = ingest.StatusLog(str(tmp_path / "status"))
