@@ -128,3 +128,23 @@ def test_diversity_of_texts_without_words(spark):
     rows = spark.createDataFrame([(1, o, o * 10, 1 - o / 100, t) for o, t in enumerate(["", "same words here", "same words here", "a b", "other thing entirely"], 1)], "query_id long, ord int, vec_id long, score double, text string")
     out = H.mmr_select(rows, "vec_id", k=3)
     assert [r.vec_id for r in out.orderBy("ord").collect()] == [10, 20, 40]
+
+
+def test_lanes_are_expanded_without_texts(spark, rows, monkeypatch):
+    cut = E.cut_lineage
+    seen = []
+    monkeypatch.setattr(E, "cut_lineage", lambda df: seen.append(df.columns) or cut(df))
+    text = F.when(F.col("query_id") == 1, F.concat(F.lit("- one\n- two\n"), F.substring("text", 1, 90))).otherwise(F.col("text"))
+    hits = rows.withColumn("text", text)
+    plain = rows.where("query_id = 1").select("source_name", "chunk_index", "total_chunks", "prev_chunk_index", "next_chunk_index", "text", "content_without_overlap")
+    chunks = plain.withColumn("collection", F.lit("doc"))
+    kept = hits.where("chunk_index = 2 AND source_name = 's0'")
+    told = spark.createDataFrame([(1, 1), (2, 1)], "query_id long, entailment_count long")
+    out, lanes = E.expansion_lane(hits.where("chunk_index < 4 AND source_name = 's0'"), kept, chunks, told)
+    assert {tuple(r) for r in lanes.collect()} == {(1, "list"), (2, "none")}
+    got = out.where("query_id = 1").orderBy("ord").collect()
+    assert [r.chunk_index for r in got] == [1, 2, 3, 4, 5] and [r.is_expansion for r in got] == [False, False, False, True, True]
+    assert [r.text.startswith("- one") for r in got] == [True, True, True, False, False] and got[4].text == "text 0 5 " * 40
+    assert [r.content_without_overlap for r in got] == [f"bare {i}" for i in range(1, 6)]
+    assert [(r.chunk_index, r.text) for r in out.where("query_id = 2").collect()] == [(2, "text 0 2 " * 40)]
+    assert seen and not any("text" in c or "content_without_overlap" in c for c in seen)  # before, two of the tables held all texts
